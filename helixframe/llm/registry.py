@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from helixframe.llm import op09_quality
 from helixframe.llm.op01_minhash import op1_minhash_near_dedup
+from helixframe.llm.op04_substring import op4_substring_dedup
+from helixframe.llm.op05_pii import op5_personal_data
+from helixframe.llm.op06_tokens import op6_token_counts
+from helixframe.llm.op09_quality import op9_quality_rules
+from helixframe.llm.op10_sharding import op10_ring_sharding
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup,)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op4_substring_dedup, op5_personal_data, op6_token_counts, op9_quality_rules, op10_ring_sharding)}
+ORACLE_SQL: dict[str, str] = {"op9_quality_rules": op09_quality.ORACLE}

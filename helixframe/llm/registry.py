@@ -4,11 +4,29 @@ from __future__ import annotations
 
 from helixframe.llm import op09_quality
 from helixframe.llm.op01_minhash import op1_minhash_near_dedup
+from helixframe.llm.op02_decontam import op2_decontamination
+from helixframe.llm.op03_urls import op3_url_filter
 from helixframe.llm.op04_substring import op4_substring_dedup
 from helixframe.llm.op05_pii import op5_personal_data
 from helixframe.llm.op06_tokens import op6_token_counts
+from helixframe.llm.op07_mixing import op7_source_mixing
+from helixframe.llm.op08_langid import op8_language_id
 from helixframe.llm.op09_quality import op9_quality_rules
 from helixframe.llm.op10_sharding import op10_ring_sharding
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op4_substring_dedup, op5_personal_data, op6_token_counts, op9_quality_rules, op10_ring_sharding)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_minhash_near_dedup,
+        op2_decontamination,
+        op3_url_filter,
+        op4_substring_dedup,
+        op5_personal_data,
+        op6_token_counts,
+        op7_source_mixing,
+        op8_language_id,
+        op9_quality_rules,
+        op10_ring_sharding,
+    )
+}
 ORACLE_SQL: dict[str, str] = {"op9_quality_rules": op09_quality.ORACLE}

@@ -13,9 +13,12 @@ concentrate as with independent minima. Bands of R bins are then joined:
    of as many hash orders: linear in the bucket, not quadratic;
 3. pairs are pruned by set size and by the estimate of the sketch (5 standard
    deviations below the threshold) and then verified on full shingle sets;
-4. components of these links shrink each bucket to the pairs that still lie in
-   different components; these are pruned and verified too, all of them, so no
-   link is lost that the bands have found;
+4. components of these links leave the documents of buckets that still hold two
+   components. Their remaining links are found exactly, by prefixes: with
+   shingles in one common order, rare ones first, two similar sets share one
+   near both their beginnings, and where it stands bounds their overlap. A
+   group that shares a long passage but is not similar enough shares none, so
+   it isn't paired off; within one component nothing is;
 5. components of all links are the result.
 
 The chance that the bands miss a pair at the threshold itself is
@@ -35,6 +38,8 @@ from helixframe.llm.textkernel import U64, Block, blocks, longs, mix, signed, wi
 
 T, R, LEADERS = 128, 4, 2
 SHINGLE, PERCENT = 5, 75
+#: Counters that order shingles by how common they are.
+ORDER_BITS = 20
 _SKETCH = "id long, n long, s1 long, s2 long, bands array<long>, sketch binary"
 
 
@@ -150,6 +155,61 @@ def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int) ->
     return save(full.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"), "links")
 
 
+def _counted(batches):
+    total = np.zeros(1 << ORDER_BITS, np.int64)
+    for block in blocks(batches):
+        h, _ = shingle_sets(block)
+        total += np.bincount((h >> U64(64 - ORDER_BITS)).astype(np.int64), minlength=len(total))
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["slot", "n"])
+
+
+def _prefixes(shared, percent: int):
+    """Rows (token, pos) of each set's prefix; first: short enough a prefix to meet larger sets."""
+
+    def run(batches):
+        common = shared.value
+        for block in blocks(batches):
+            h, at = shingle_sets(block)
+            rows = []
+            for r in range(block.n):
+                x = h[at[r] : at[r + 1]]
+                n = len(x)
+                keep = n - -(-percent * n // 100) + 1
+                order = np.lexsort((x, common[(x >> U64(64 - ORDER_BITS)).astype(np.int64)]))[: max(0, keep)]
+                rows.append(x[order])
+            size = np.diff(at)
+            take = np.array([len(x) for x in rows], np.int64)
+            n = np.repeat(size, take)
+            pos = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
+            first = (100 + percent) * (n - pos) >= 2 * percent * n
+            token = np.concatenate(rows) if rows else np.zeros(0, U64)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(token)), pa.array(np.repeat(longs(block.batch.column(0)), take)), pa.array(np.repeat(longs(block.batch.column(2)), take)), pa.array(n), pa.array(pos), pa.array(first)], names=["token", "id", "part", "n", "pos", "first"])
+
+    return run
+
+
+def _apart(rest: DataFrame, percent: int) -> DataFrame:
+    """rest(id, text, part) -> pairs(a, b) of different parts whose prefixes allow similarity; none that is similar enough is missing."""
+    spark = rest.sparkSession
+    counts = rest.select("id", "text").mapInArrow(_counted, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    common = np.zeros(1 << ORDER_BITS, np.int64)  # of this size whatever the corpus; any order is right, a good one prunes more
+    common[counts["slot"].to_numpy()] = counts["n"].to_numpy()
+    prefix = rest.select("id", "text", "part").mapInArrow(_prefixes(spark.sparkContext.broadcast(common), percent), "token long, id long, part long, n long, pos long, first boolean")
+    prefix = save(prefix, "prefixes")
+    # tokens of one part only go; of the others, the largest part is not paired with itself
+    parts = prefix.groupBy("token", "part").agg(F.count("*").alias("size"))
+    mixed = parts.groupBy("token").agg(F.max(F.struct("size", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("token", F.col("most.part").alias("most"))
+    rows = save(prefix.join(mixed, "token"), "mixed")
+    other = rows.select("token", *[F.col(c).alias(f"{c}_") for c in ("id", "part", "n", "pos", "first")])
+    bound = f"{100 + percent} * least(n - pos, n_ - pos_) >= {percent} * (n + n_)"
+    smaller = "first and (n < n_ or (n = n_ and id < id_))"
+    larger = "first_ and (n_ < n or (n = n_ and id_ < id))"
+    # each pair once: from its row outside the largest part, or from the smaller of two such
+    pairs = rows.where("part <> most").join(other, "token").where(f"part <> part_ and {bound} and ({smaller} or ({larger} and part_ = most))")
+    return pairs.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs(doc_id, text) -> one row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -175,12 +235,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = _links(pairs, reps, docs, percent)
     parts = components(links)
 
-    open_ = shared.select("band", "id", "n").join(parts, "id", "left").withColumn("part", F.coalesce("component", "id"))
+    open_ = shared.select("band", "id").join(parts, "id", "left").withColumn("part", F.coalesce("component", "id"))
     mixed = open_.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("band")
-    rest = save(open_.select("band", "id", "n", "part").join(mixed, "band", "left_semi"), "rest")
-    other = rest.select("band", F.col("id").alias("other"), F.col("n").alias("m"), F.col("part").alias("apart"))
-    pairs = rest.join(other, "band").where("id < other and part <> apart").where(near).select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
-    more = _links(pairs, reps, docs, percent)
+    rest = open_.join(mixed, "band", "left_semi").select("id", "part").distinct()
+    rest = save(docs.join(rest, "id").dropDuplicates(["id"]).select("id", "text", "part"), "rest")
+    pairs = _apart(rest, percent)
+    more = _links(pairs, reps, rest, percent)
     parts = components(links.union(more))
 
     out = all_docs.select("id", *sets).join(classes, sets, "left").withColumn("rep", F.coalesce("rep", "id"))

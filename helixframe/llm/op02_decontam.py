@@ -19,151 +19,160 @@ item, never per window.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import ids, real_id, save, table
-from helixframe.llm.textkernel import U64, blocks, longs, mix, window_hashes
+from helixframe.llm.textkernel import U64, Block, blocks, longs, window_hashes
 
 WINDOW, RUN, BLOCK = 8, 13, 1_000_000
 #: Units that count as such after a number. Fixed values.
-UNITS = frozenset("mm cm m km in inch inches ft feet foot yd yard yards mile miles mg g kg lb lbs oz ton tons ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years usd eur gbp dollar dollars euro euros cent cents percent degrees mph kmh kph hz khz mhz ghz kb mb gb tb w kw v a j kj cal kcal".split())
-_TOKEN = re.compile(rb"[0-9]+(?:[.,][0-9]+)*|[A-Za-z\x80-\xff_][A-Za-z0-9\x80-\xff_]*")
-NUM, NAME, UNIT = b"\x01num", b"\x01name", b"\x01unit"
-_STRETCH = 64
-
-
-def tokens(text: bytes) -> tuple[list[bytes], list[bytes], list[bytes]]:
-    """Tokens as written, with all placeholders, and without those for names."""
-    raw, full, plain = [], [], []
-    last = 0
-    for m in _TOKEN.finditer(text):
-        t = m.group()
-        gap = text[last : m.start()]
-        first = not raw or any(c in gap for c in b".!?\n:|\"")
-        last = m.end()
-        low = t.lower()
-        if t[:1].isdigit():
-            raw.append(t), full.append(NUM), plain.append(NUM)
-        elif full and full[-1] == NUM and low in UNITS:
-            raw.append(low), full.append(UNIT), plain.append(UNIT)
-        else:
-            raw.append(low), plain.append(low)
-            full.append(NAME if not first and t[:1].isupper() and not (len(t) > 1 and t.isupper()) else low)
-    return raw, full, plain
-
-
-class _Hasher(dict):
-    def __missing__(self, token: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = 0xCBF29CE484222325
-        for c in token:
-            h = ((h ^ c) * 0x100000001B3) & (2**64 - 1)
-        self[token] = h
-        return h
-
-
-def _hash(sequence: list[bytes], hasher: _Hasher) -> np.ndarray:
-    return mix(np.fromiter((hasher[t] for t in sequence), U64, len(sequence)), 3)
+UNITS = "mm cm m km in inch inches ft feet foot yd yard yards mile miles mg g kg lb lbs oz ton tons ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years usd eur gbp dollar dollars euro euros cent cents percent degrees mph kmh kph hz khz mhz ghz kb mb gb tb w kw v a j kj cal kcal".split()
+NUM, NAME, UNIT = (U64(x) for x in (11, 12, 13))
+_BITS = 20
+_BYTE = np.arange(256)
+_DIGIT = (_BYTE >= 48) & (_BYTE <= 57)
+_UPPER = (_BYTE >= 65) & (_BYTE <= 90)
+_INNER = _DIGIT | _UPPER | ((_BYTE >= 97) & (_BYTE <= 122)) | (_BYTE >= 128) | (_BYTE == 95)
+_JOINS = np.isin(_BYTE, list(b".,"))
+_ENDS = np.isin(_BYTE, list(b'.!?\n:|"'))
+
+
+class Templates(Block):
+    """Tokens of some rows: runs of letters, digits, _ and bytes from 128, with points and commas between digits.
+
+    raw: hashes of the tokens in lower case; full: with placeholders for numbers
+    (first character a digit), names and units; plain: with all but those for names.
+    """
+
+    def _mark(self) -> np.ndarray:
+        digit = _DIGIT[self.bytes]
+        mark = _INNER[self.bytes]
+        if len(mark) > 2:
+            mark[1:-1] |= _JOINS[self.bytes[1:-1]] & digit[:-2] & digit[2:]
+        return mark
+
+    def __init__(self, batch: pa.RecordBatch, text: str):
+        super().__init__(batch, text)
+        self.raw = self.word_hashes(lower=True)
+        n = len(self.raw)
+        head = self.bytes[self.start]
+        number = _DIGIT[head]
+        ends = np.concatenate([[0], np.cumsum(_ENDS[self.bytes])])
+        first = np.ones(n, bool)
+        if n:
+            first[1:] = (self.row[1:] != self.row[:-1]) | (ends[self.start[1:]] > ends[self.end[:-1]])
+        long = self.end - self.start > 1
+        second = self.bytes[np.minimum(self.start + 1, max(0, len(self.bytes) - 1))] if n else head
+        name = _UPPER[head] & long & ~_UPPER[second] & ~first
+        unit = np.isin(self.raw, _UNIT_HASHES)
+        unit[1:] &= number[:-1] & (self.row[1:] == self.row[:-1])
+        unit[:1] = False
+        self.plain = np.where(number, NUM, np.where(unit, UNIT, self.raw))
+        self.full = np.where(name & ~number & ~unit, NAME, self.plain)
+
+    def of(self, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        part = slice(self.first[row], self.first[row + 1])
+        return self.raw[part], self.full[part], self.plain[part]
+
+
+_UNIT_HASHES = np.zeros(0, U64)
+_UNIT_HASHES = Templates(pa.RecordBatch.from_pydict({"text": [" ".join(UNITS)]}), "text").raw
 
 
 class Index:
     """Sorted window hashes of a block of items, and where they stand."""
 
-    def __init__(self, items: list[tuple[int, bytes]]):
-        hasher = _Hasher()
-        self.items = [(i, tokens(t)) for i, t in items]
+    def __init__(self, items: list[tuple[int, str]]):
+        read = Templates(pa.RecordBatch.from_pydict({"text": pa.array([t for _, t in items], pa.string())}), "text")
+        self.ids = [i for i, _ in items]
+        self.items = [read.of(r) for r in range(len(items))]
         h, where, at = [], [], []
-        for n, (_, (_, full, plain)) in enumerate(self.items):
-            for seq in (full, plain):
-                size = min(WINDOW, len(seq))
-                if not size:
-                    continue
-                w = window_hashes(_hash(seq, hasher), size)
+        for n, item in enumerate(self.items):
+            size = min(WINDOW, len(item[0]))
+            for seq in item[1:] if size else ():
+                w = window_hashes(seq, size)
                 h.append(w), where.append(np.full(len(w), n)), at.append(np.arange(len(w)))
         h = np.concatenate(h) if h else np.zeros(0, U64)
         order = np.argsort(h, kind="stable")
         self.h = h[order]
         self.where = (np.concatenate(where) if where else np.zeros(0, np.int64))[order]
         self.at = (np.concatenate(at) if at else np.zeros(0, np.int64))[order]
-        self.sizes = sorted({min(WINDOW, len(x[1][0])) for x in self.items} - {0})
-        #: one bit for each 20-bit suffix of a hash: most windows stop here
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(self.h & U64((1 << 20) - 1)).astype(np.int64)] = True
+        self.sizes = sorted({min(WINDOW, len(x[0])) for x in self.items} - {0})
+        #: whether any hash has these last bits: most windows stop here
+        self.bits = np.zeros(1 << _BITS, bool)
+        self.bits[(self.h & U64((1 << _BITS) - 1)).astype(np.int64)] = True
 
-    def find(self, h: np.ndarray) -> list[tuple[int, int, int]]:
-        """(place in h, item, its place) of every equal window."""
-        maybe = np.flatnonzero(self.bits[(h & U64((1 << 20) - 1)).astype(np.int64)])
-        low, high = (np.searchsorted(self.h, h[maybe], side=s) for s in ("left", "right"))
-        return [(int(p), int(self.where[j]), int(self.at[j])) for p, a, b in zip(maybe, low, high, strict=True) for j in range(a, b)]
+    def hits(self, h: np.ndarray) -> np.ndarray:
+        """Places of h that the index holds."""
+        maybe = np.flatnonzero(self.bits[(h & U64((1 << _BITS) - 1)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.h, h[maybe]), max(0, len(self.h) - 1))
+        return maybe[self.h[at] == h[maybe]] if len(self.h) else maybe[:0]
 
 
 def _run(item: tuple, doc: tuple, i: int, d: int, which: int) -> tuple[int, int, str] | None:
     """The run around item token i and document token d: its first token in the item, its end and its kind; None if it doesn't count."""
     a, b = item[which], doc[which]
-    low = 0
-    while i - low > 0 and d - low > 0 and a[i - low - 1] == b[d - low - 1]:
-        low += 1
-    high = 0
-    while i + high < len(a) and d + high < len(b) and a[i + high] == b[d + high]:
-        high += 1
-    n = low + high
-    spelled = sum(1 for t in a[i - low : i + high] if t[:1] != b"\x01")
-    if n < min(RUN, len(a)) or 2 * spelled < n:
+    low = min(i, d)
+    differ = np.flatnonzero(a[i - low : i] != b[d - low : d])
+    low = low if not len(differ) else low - 1 - differ[-1]
+    high = min(len(a) - i, len(b) - d)
+    differ = np.flatnonzero(a[i : i + high] != b[d : d + high])
+    high = high if not len(differ) else differ[0]
+    n = int(low + high)
+    slots = np.flatnonzero(np.isin(a[i - low : i + high], (NUM, NAME, UNIT)))
+    if n < min(RUN, len(a)) or 2 * len(slots) > n:
         return None
+    x, y, t = (s[k - low : k + high][slots].tolist() for s, k in ((item[0], i), (doc[0], d), (a, i)))
     to: dict = {}
     back: dict = {}
-    for x, y, t in zip(item[0][i - low : i + high], doc[0][d - low : d + high], a[i - low : i + high], strict=True):
-        if t[:1] == b"\x01" and (to.setdefault((t, x), y) != y or back.setdefault((t, y), x) != x):
+    for u, v, kind in zip(x, y, t, strict=True):
+        if to.setdefault((kind, u), v) != v or back.setdefault((kind, v), u) != u:
             return None
-    kind = "verbatim" if all(x == y for (_, x), y in to.items()) else "reparameterised"
-    return i - low, i + high, kind
+    return int(i - low), int(i + high), "verbatim" if x == y else "reparameterised"
 
 
-def matches(text: bytes, index: Index, hasher: _Hasher) -> list[tuple[int, int, int, str]]:
-    """(item, tokens of its longest run, tokens of it in runs, kind) for each item that a text holds."""
-    doc = tokens(text)
-    found: dict[int, list] = {}
-    for which in (1, 2):
-        words = _hash(doc[which], hasher)
+def matches(block: Templates, index: Index) -> list[tuple[int, int, int, int, str]]:
+    """(row, item, tokens of its longest run, tokens of it in runs, kind) for each item that a row holds."""
+    found: dict[tuple[int, int], list] = {}
+    for which, seq in ((1, block.full), (2, block.plain)):
         done: dict = {}
         for size in index.sizes:
-            if len(words) < size:
+            h = window_hashes(seq, size)
+            if not len(h):
                 continue
-            for d, n, i in index.find(window_hashes(words, size)):
-                if done.get((n, d - i), -1) > d:
-                    continue
-                item = index.items[n][1]
-                if item[which][i : i + size] != doc[which][d : d + size]:
-                    continue
-                run = _run(item, doc, i, d, which)
-                if run:
-                    done[n, d - i] = d - i + run[1]
-                    found.setdefault(n, []).append(run)
+            places = index.hits(h)
+            places = places[block.row[places] == block.row[places + size - 1]]
+            for p in places.tolist():
+                r = int(block.row[p])
+                d = p - int(block.first[r])
+                for j in range(np.searchsorted(index.h, h[p], "left"), np.searchsorted(index.h, h[p], "right")):
+                    n, i = int(index.where[j]), int(index.at[j])
+                    if done.get((r, n, d - i), -1) > d or size < min(WINDOW, len(index.items[n][0])):
+                        continue
+                    run = _run(index.items[n], block.of(r), i, d, which)
+                    if run:
+                        done[r, n, d - i] = d - i + run[1]
+                        found.setdefault((r, n), []).append(run)
     out = []
-    for n, runs in found.items():
+    for (r, n), runs in found.items():
         covered = set().union(*(range(a, b) for a, b, _ in runs))
-        longest = max(runs, key=lambda r: (r[1] - r[0], r[2] == "verbatim"))
-        out.append((index.items[n][0], longest[1] - longest[0], len(covered), longest[2]))
+        longest = max(runs, key=lambda x: (x[1] - x[0], x[2] == "verbatim"))
+        out.append((r, index.ids[n], longest[1] - longest[0], len(covered), longest[2]))
     return sorted(out)
 
 
 def _scan(shared):
+    schema = pa.schema([("id", pa.int64()), ("item_id", pa.int64()), ("run", pa.int64()), ("covered", pa.int64()), ("kind", pa.string())])
+
     def run(batches):
-        hasher = _Hasher()
         index = shared.value
-        for batch in batches:
-            rows = {"id": [], "item_id": [], "run": [], "covered": [], "kind": []}
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for item, longest, covered, kind in matches(text.as_buffer().to_pybytes() if text.is_valid else b"", index, hasher):
-                    for k, v in zip(rows, (doc, item, longest, covered, kind), strict=True):
-                        rows[k].append(v)
-            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("id", pa.int64()), ("item_id", pa.int64()), ("run", pa.int64()), ("covered", pa.int64()), ("kind", pa.string())]))
+        for block in blocks(batches, kind=Templates):
+            doc = longs(block.batch.column(0))
+            found = [(int(doc[r]), *rest) for r, *rest in matches(block, index)]
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in found], schema=schema)
 
     return run
 
@@ -172,9 +181,8 @@ def item_blocks(benchmark: DataFrame, most: int = BLOCK):
     """The benchmark's items in blocks of about `most` tokens, one after another through the driver."""
     block, size = [], 0
     for row in benchmark.where("text is not null").select(ids("item_id").alias("id"), "text").toLocalIterator():
-        text = row.text.encode("utf-8", "replace")
-        block.append((row.id, text))
-        size += len(text) // 4
+        block.append((row.id, row.text))
+        size += len(row.text) // 4
         if size >= most:
             yield block
             block, size = [], 0
@@ -191,7 +199,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     either side gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(ids().alias("id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
+    rows = docs.select(ids().alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     schema = "id long, item_id long, run long, covered long, kind string"
     found = spark.createDataFrame([], schema)
     for block in item_blocks(benchmark):

@@ -6,9 +6,12 @@ start at positions in D modulo V; two equal windows of L words therefore share
 an anchor at the same place inside them, however they are aligned. Hashing
 4 of 13 positions is thus enough to find every repeated window:
 
+0. documents whose whole text an earlier one has are set aside (128-bit hashes,
+   sums combined map-side): every window of theirs starts earlier, and none of
+   theirs is the first of its kind;
 1. anchors that occur twice or more are found by one shuffle on their hash;
 2. each extends to the windows of L words that hold it: only these are hashed
-   whole (128 bits), and one more shuffle tells for each whether an equal one
+   whole (96 bits), and one more shuffle tells for each whether an equal one
    starts earlier;
 3. the words of those that have one are removed.
 
@@ -27,13 +30,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import ids, real_id, table
+from helixframe.llm.common import ids, real_id, save, table
 from helixframe.llm.textkernel import U64, blocks, longs, mix, signed, window_hashes
 
 WINDOW = 20
 #: Perfect difference sets: period -> cover. Fixed values.
 COVERS = {3: (0, 1), 7: (1, 2, 4), 13: (0, 1, 3, 9), 31: (1, 5, 11, 24, 25, 27), 57: (0, 1, 6, 15, 22, 26, 45, 55)}
-_KEYED = "k long, h long, id long, pos int, sure boolean"
+#: at: twice the start word, plus one if the answer is known.
+_KEYED = "k long, h int, id long, at int"
 _PLACE = "id long, pos int"
 
 
@@ -46,23 +50,23 @@ def cover(window: int) -> tuple[int, tuple[int, ...], int]:
 def _rows(h: np.ndarray, g: np.ndarray, doc: np.ndarray, pos: np.ndarray, mark_first: bool) -> pa.RecordBatch:
     """Rows of one block, settled as far as the block can; g tells equal h apart."""
     order = np.lexsort((pos, doc, g, h))
-    h, g, doc, pos = h[order], g[order], doc[order], pos[order]
-    first = np.ones(len(h), bool)
-    if len(h):
-        first[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
-    later = ~first
+    x, y, d, p = h[order], g[order], doc[order], pos[order]
+    first = np.ones(len(x), bool)
+    if len(x):
+        first[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
     if mark_first:
-        last = np.append(first[1:], True)
-        sure = later | ~last
-    else:  # as early as the first of its block is no later
-        head = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
-        same = (doc == doc[head]) & (pos == pos[head])
-        sure = later & ~same
+        sure = ~first | ~np.append(first[1:], True)[: len(x)]
+    else:
+        head = np.maximum.accumulate(np.where(first, np.arange(len(x)), 0))
+        sure = (d != d[head]) | (p != p[head])
+    back = np.empty_like(order)  # texts' own order: near rows then look alike and compress well
+    back[order] = np.arange(len(order))
+    first, sure = first[back], sure[back]
     with np.errstate(over="ignore"):
         own = mix(doc.view(U64) * U64(0x9E3779B97F4A7C15) + pos.astype(U64), 5)
     return pa.RecordBatch.from_arrays(
-        [pa.array(signed(np.where(later, own, h))), pa.array(signed(np.ascontiguousarray(g))), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(sure)],
-        names=["k", "h", "id", "pos", "sure"],
+        [pa.array(signed(np.where(first, h, own))), pa.array((g >> U64(33)).astype(np.int32)), pa.array(doc), pa.array((2 * pos + sure).astype(np.int32))],
+        names=["k", "h", "id", "at"],
     )
 
 
@@ -91,8 +95,8 @@ def _settled(which: str):
         for batch in batches:
             if not len(batch):
                 continue
-            k, g, doc, pos = (longs(batch.column(i)) for i in range(4))
-            sure = batch.column(4).to_numpy(zero_copy_only=False)
+            k, g, doc, at = (longs(batch.column(i)) for i in range(4))
+            pos, sure = at >> 1, (at & 1).astype(bool)
             goes_on = held is not None and held[0] == k[0] and held[1] == g[0]
             if goes_on:
                 k, g, doc, pos, sure = (np.concatenate([[x], y]) for x, y in zip(held, (k, g, doc, pos, sure), strict=True))
@@ -154,6 +158,8 @@ def _removed(window: int):
     def run(batches):
         for block in blocks(batches):
             gone = _covered(block, *_flat(block, "at"), 0, window)
+            copy = block.batch.column(block.batch.schema.get_field_index("copy")).to_numpy(zero_copy_only=False).astype(bool)
+            gone |= (copy & (np.diff(block.first) >= window))[block.row]
             data = block.bytes.tobytes()
             kept = []
             for r in range(block.n):
@@ -171,15 +177,25 @@ def _removed(window: int):
     return run
 
 
-def repeated_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs(id, text) -> (id, at): the start words of the windows that also start earlier."""
+def copies(docs: DataFrame) -> DataFrame:
+    """docs(id, text) -> (id, copied): hashes of the texts of an id that a smaller id has too."""
+    sums = ["h", "g", "n"]
+    keys = save(docs.select("id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"), F.length("text").alias("n")), "keys")
+    first = keys.groupBy(*sums).agg(F.min("id").alias("first"), F.count("*").alias("size")).where("size > 1").drop("size")
+    return keys.join(first, sums).where("id > first").groupBy("id").agg(F.collect_set("h").alias("copied"))
+
+
+def repeated_places(marked: DataFrame, window: int = WINDOW) -> DataFrame:
+    """marked(id, text, copy) -> (id, at): the start words of the windows that also start earlier, but for those of copies."""
+
     def settle(df: DataFrame, which: str) -> DataFrame:
-        df = df.repartition("k").sortWithinPartitions("k", "h", "id", "pos").mapInArrow(_settled(which), _PLACE)
+        df = df.repartition("k").sortWithinPartitions("k", "h", "id", "at").mapInArrow(_settled(which), _PLACE)
         return df.groupBy("id").agg(F.collect_list("pos").alias("at"))
 
-    anchors = settle(docs.mapInArrow(_anchors(window), _KEYED), "shared")
-    marked = docs.join(anchors, "id").select("id", "text", "at")
-    return settle(marked.mapInArrow(_windows(window), _KEYED), "later")
+    own = marked.where("not copy").select("id", "text")
+    anchors = settle(own.mapInArrow(_anchors(window), _KEYED), "shared")
+    near = marked.join(anchors, "id").where("not copy").select("id", "text", "at")
+    return settle(near.mapInArrow(_windows(window), _KEYED), "later")
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -194,8 +210,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Other columns are ignored.
     """
     docs = docs.select(ids().alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    gone = repeated_places(docs, window)
-    out = docs.join(gone, "id", "left").select("id", "text", "at").mapInArrow(_removed(window), "id long, n_words long, n_removed long, text string")
+    marked = docs.join(copies(docs), "id", "left").select("id", "text", F.coalesce(F.array_contains("copied", F.xxhash64("text")), F.lit(False)).alias("copy"))
+    gone = repeated_places(marked, window)
+    out = marked.join(gone, "id", "left").select("id", "text", "at", "copy").mapInArrow(_removed(window), "id long, n_words long, n_removed long, text string")
     return out.select(real_id(F.col("id")).alias("doc_id"), "n_words", "n_removed", "text")
 
 

@@ -70,7 +70,7 @@ class Block:
         at = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + self.n + 1].astype(np.int64) if offsets is not None and self.n else np.zeros(self.n + 1, np.int64)
         self.bytes = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
         self.at = at - at[0]
-        word = ~_SPACE[self.bytes]
+        word = self.mark = self._mark()
         before, after = np.empty_like(word), np.empty_like(word)
         if len(word):
             before[1:], before[0] = word[:-1], False
@@ -83,12 +83,18 @@ class Block:
         self.first = np.searchsorted(self.start, self.at)
         self.row = np.repeat(np.arange(self.n), np.diff(self.first))
 
+    def _mark(self) -> np.ndarray:
+        """Which bytes are of words."""
+        return ~_SPACE[self.bytes]
+
     def word_hashes(self, lower: bool = False, seed: int = 0) -> np.ndarray:
         if not len(self.start):
             return np.zeros(0, U64)
         up, down = _powers(len(self.bytes))
         with np.errstate(over="ignore"):
-            h = np.add.reduceat(_TABLES[lower, seed][self.bytes] * up[: len(self.bytes)], self.start)
+            each = _TABLES[lower, seed][self.bytes] * up[: len(self.bytes)]
+            each[~self.mark] = 0
+            h = np.add.reduceat(each, self.start)
             h *= down[self.start]
         return mix(h, seed)
 
@@ -112,7 +118,7 @@ def window_hashes(words: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     return mix(h, seed)
 
 
-def blocks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = BLOCK_BYTES) -> Iterator[Block]:
+def blocks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = BLOCK_BYTES, kind: type[Block] = Block) -> Iterator[Block]:
     """Arrow batches, cut so that a block holds so many bytes of text or a single row."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
@@ -122,7 +128,7 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = BL
         low = 0
         while low < len(column):
             high = max(low + 1, int(np.searchsorted(sizes, sizes[low] + most, side="right")) - 1)
-            yield Block(batch.slice(low, high - low), text)
+            yield kind(batch.slice(low, high - low), text)
             low = high
 
 

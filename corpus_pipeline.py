@@ -1,12 +1,68 @@
-"""A training-corpus pipeline over `documents`: each stage calls one operator of helixframe.llm."""
+"""A training-corpus pipeline over `documents`: each stage calls one operator of helixframe.llm.
+
+Stages keep whole rows (all columns, whatever their names) and decide by doc_id
+and text only. A null doc_id is a document like any other. Empty tables pass
+through all stages.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from helixframe.llm import op08_langid
+from helixframe.llm.common import ids, save, table
+from helixframe.llm.op01_minhash import near_duplicates
+from helixframe.llm.op02_decontam import contaminated
+from helixframe.llm.op07_mixing import default_weights, domain_of, mix
+from helixframe.llm.op10_sharding import ring_shards
+
+#: Texts whose language is less likely than this, or that have no letters, go.
+MIN_LANGUAGE_SCORE = 0.5
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """Whole rows beside what stages join by, so that no column of theirs can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), ids().alias("id"), F.xxhash64("text").alias("sum"))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents whose language is identified with a score of MIN_LANGUAGE_SCORE or more."""
+    model = op08_langid.train(docs.select("doc_id", "text", "lang"), ~op08_langid.held_out())
+    if model is None:  # nothing to learn from, nothing to reject by
+        return docs
+    judged = op08_langid.predict(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text"), model)
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("row.*")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each group of near duplicates, once; documents without words are no group."""
+    gone = near_duplicates(docs).where("not kept").select(ids().alias("id")).distinct()
+    kept = _packed(docs).join(gone, "id", "left_anti")
+    # a repeated row has the same doc_id and text; rows are together by id already
+    return kept.dropDuplicates(["id", "sum"]).select("row.*")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a benchmark item or a long enough passage of one."""
+    gone = contaminated(docs, table(spark, sf_dir, "benchmark")).select(ids().alias("id")).distinct()
+    return _packed(docs).join(gone, "id", "left_anti").select("row.*")
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes each document as often as the mixture does: not at all, once, or once more for each further epoch."""
+    taken = mix(docs, domain_of(F.col("source")), default_weights()).where("copies > 0").groupBy(ids().alias("id"), "sum").agg(F.max("copies").alias("copies"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), ids().alias("id"), F.crc32(F.coalesce("text", F.lit(""))).alias("sum"))
+    return rows.join(taken, ["id", "sum"]).select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places all that is left: doc_id, size, text_crc32, shard, slot."""
+    return ring_shards(docs)
 
-from helixframe.llm.common import save, table
 
-STAGES: list = []
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontamination", decontamination), ("source_mixing", source_mixing), ("sharding", sharding)]
+#: No SQL: a trained classifier and sketches decide. tests/llm holds it against a brute-force version.
 ORACLE_SQL = None
 
 

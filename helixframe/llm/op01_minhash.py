@@ -214,9 +214,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs(doc_id, text) -> one row per input row: doc_id, n_shingles, component_id, kept.
 
     Null or blank texts have no shingles and link with nothing. Rows that repeat
-    a doc_id count as one document of the component. A row whose doc_id is null
-    is a document of its own that sorts first; its component_id is null and kept
-    is true. An empty table gives an empty table. Other columns are ignored.
+    a doc_id, and all rows whose doc_id is null, count as one document of one of
+    their texts for links to others; a null doc_id sorts first, has a null
+    component_id and is kept. An empty table gives an empty table. Other columns
+    are ignored.
     """
     docs = docs.select(ids().alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     all_docs = save(docs.mapInArrow(_sketches, _SKETCH), "sketches")

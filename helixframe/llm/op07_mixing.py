@@ -68,7 +68,7 @@ def budgets(leaves: DataFrame, total, max_epochs: int, weights) -> DataFrame:
 
 
 def mix(docs: DataFrame, domain: Column, weights, percent: int = 90, max_epochs: int = 2, seed: int = 7) -> DataFrame:
-    """docs(doc_id, text, lang, source) -> one row per input row: doc_id, domain, language, source, n_tokens, copies.
+    """docs(doc_id, text, lang, source) -> one row per input row: doc_id, sum (crc32 of the text), domain, language, source, n_tokens, copies.
 
     Tokens are words. The budget is `percent` of all tokens. copies is how often
     the mixture takes the document (0 to max_epochs). Null languages and sources
@@ -102,7 +102,7 @@ def mix(docs: DataFrame, domain: Column, weights, percent: int = 90, max_epochs:
     # no cut: all of the leaf fits, which only a leaf without tokens or rest does
     more = F.when(F.col("rest") <= 0, 0).when(F.col("end").isNotNull(), (F.col("end") <= F.col("rest")).cast("int")).otherwise((F.col("bucket") < F.col("cut")).cast("int"))
     taken = F.when(F.col("n_tokens") == 0, F.col("epochs")).otherwise(F.col("epochs") + F.coalesce(more, F.lit(0)))
-    return ends.unionByName(sure).select("doc_id", *leaf, "n_tokens", taken.cast("int").alias("copies"))
+    return ends.unionByName(sure).select("doc_id", "sum", *leaf, "n_tokens", taken.cast("int").alias("copies"))
 
 
 def domain_of(source: Column) -> Column:

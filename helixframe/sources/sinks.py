@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +24,13 @@ def tsv_rows(hits: DataFrame) -> DataFrame:
 
 def tsv(hits: DataFrame, path: str) -> None:
     """Text files, each with the header."""
-    names = shape(hits)
-    # a file's first line is the header: CSV with the first column named so
-    hits.select(*[F.col(c).cast("string").alias(c if i else f"# {c}") for i, c in enumerate(names)]).write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").csv(path)
+    head = "# " + "\t".join(shape(hits))
+
+    def headed(frames):
+        yield pd.DataFrame({"value": [head]})
+        yield from frames
+
+    tsv_rows(hits).mapInPandas(headed, "value string").write.mode("overwrite").text(path)
 
 
 def json_rows(hits: DataFrame) -> DataFrame:

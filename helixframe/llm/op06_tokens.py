@@ -14,6 +14,7 @@ widened, twofold each time, in the end to the whole text.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -35,8 +36,7 @@ class Counter:
             import sentencepiece
 
             self.model = sentencepiece.SentencePieceProcessor(model_file=file)
-            space = "▁"
-            self.stable = not any(space in p.lstrip(space) for p in map(self.model.id_to_piece, range(self.model.get_piece_size())))
+            self.stable = False  # it joins a blank to what follows: no place of a text is outside all tokens, and texts are encoded whole
         else:
             from tokenizers import Tokenizer
 
@@ -61,9 +61,6 @@ class Counter:
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """(id, first character, end) of each token."""
-        if self.pieces:
-            found = self.model.encode(text, out_type="immutable_proto").pieces
-            return [(p.id, p.begin, p.end) for p in found]
         e = self.model.encode(text, add_special_tokens=False)
         return [(i, a, b) for i, (a, b) in zip(e.ids, e.offsets, strict=True)]
 
@@ -121,7 +118,7 @@ def token_counts(docs: DataFrame, file: str, limit: int = 2048, chunk: int = CHU
     """
     made: dict[str, Counter] = {}
 
-    def count(batches):
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         counter = made.get(file) or made.setdefault(file, Counter(file))
         for texts in batches:
             texts = ["" if t is None else t for t in texts]
@@ -136,8 +133,8 @@ def token_counts(docs: DataFrame, file: str, limit: int = 2048, chunk: int = CHU
                     out[i] = counter.spliced(t, chunk, overlap)
             yield pd.Series(out, dtype="int64")
 
-    count.__annotations__ = {}
-    n = F.pandas_udf(count, "long", F.PandasUDFType.SCALAR_ITER)
+    count.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    n = F.pandas_udf(count, "long")
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), n("text").alias("n_tokens"))
     return docs.select("*", (F.col("n_tokens") > limit).alias("over_limit"))
 

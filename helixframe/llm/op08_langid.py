@@ -17,6 +17,7 @@ CACHE words and works each new word out once.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -187,7 +188,8 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
             names = np.array(model.languages, object)[p.argmax(axis=1)]
             yield pd.DataFrame({"lang": np.where(some, names, "und"), "score": np.where(some, p.max(axis=1), 0.0)})
 
-    judge = F.pandas_udf(run, "lang string, score double", F.PandasUDFType.SCALAR_ITER)
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    judge = F.pandas_udf(run, "lang string, score double")
     return docs.withColumn("__judged", judge(text)).select(*docs.columns, F.col("__judged.lang").alias("lang_pred"), F.col("__judged.score").alias("score"))
 
 

@@ -39,7 +39,7 @@ from helixframe.llm.textkernel import U64, Block, blocks, longs, mix, signed, wi
 T, R, LEADERS = 128, 4, 2
 SHINGLE, PERCENT = 5, 75
 #: Counters that order shingles by how common they are.
-ORDER_BITS = 20
+ORDER_BITS = 18
 _SKETCH = "id long, n long, s1 long, s2 long, bands array<long>, sketch binary"
 
 
@@ -192,7 +192,7 @@ def _prefixes(shared, percent: int):
 def _apart(rest: DataFrame, percent: int) -> DataFrame:
     """rest(id, text, part) -> pairs(a, b) of different parts whose prefixes allow similarity; none that is similar enough is missing."""
     spark = rest.sparkSession
-    counts = rest.select("id", "text").mapInArrow(_counted, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    counts = rest.select("id", "text").mapInArrow(_counted, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     common = np.zeros(1 << ORDER_BITS, np.int64)  # of this size whatever the corpus; any order is right, a good one prunes more
     common[counts["slot"].to_numpy()] = counts["n"].to_numpy()
     prefix = rest.select("id", "text", "part").mapInArrow(_prefixes(spark.sparkContext.broadcast(common), percent), "token long, id long, part long, n long, pos long, first boolean")

@@ -11,7 +11,7 @@ an anchor at the same place inside them, however they are aligned. Hashing
    theirs is the first of its kind;
 1. anchors that occur twice or more are found by one shuffle on their hash;
 2. each extends to the windows of L words that hold it: only these are hashed
-   whole (96 bits), and one more shuffle tells for each whether an equal one
+   whole (94 bits), and one more shuffle tells for each whether an equal one
    starts earlier;
 3. the words of those that have one are removed.
 
@@ -36,8 +36,8 @@ from helixframe.llm.textkernel import U64, blocks, longs, mix, signed, window_ha
 WINDOW = 20
 #: Perfect difference sets: period -> cover. Fixed values.
 COVERS = {3: (0, 1), 7: (1, 2, 4), 13: (0, 1, 3, 9), 31: (1, 5, 11, 24, 25, 27), 57: (0, 1, 6, 15, 22, 26, 45, 55)}
-#: at: twice the start word, plus one if the answer is known.
-_KEYED = "k long, h int, id long, at int"
+#: at: 30 bits that tell equal keys apart, 32 of the start word, and one that says whether the answer is known.
+_KEYED = "k long, id long, at long"
 _PLACE = "id long, pos int"
 
 
@@ -65,8 +65,8 @@ def _rows(h: np.ndarray, g: np.ndarray, doc: np.ndarray, pos: np.ndarray, mark_f
     with np.errstate(over="ignore"):
         own = mix(doc.view(U64) * U64(0x9E3779B97F4A7C15) + pos.astype(U64), 5)
     return pa.RecordBatch.from_arrays(
-        [pa.array(signed(np.where(first, h, own))), pa.array((g >> U64(33)).astype(np.int32)), pa.array(doc), pa.array((2 * pos + sure).astype(np.int32))],
-        names=["k", "h", "id", "at"],
+        [pa.array(signed(np.where(first, h, own))), pa.array(doc), pa.array(((g >> U64(34)).astype(np.int64) << 33) | (2 * pos + sure))],
+        names=["k", "id", "at"],
     )
 
 
@@ -88,15 +88,15 @@ def _anchors(window: int):
 
 
 def _settled(which: str):
-    """Over rows sorted by k (and h, id, pos): the places that have an equal (which = "shared") or an earlier equal ("later")."""
+    """Over rows sorted by key, id and start word: the places that have an equal (which = "shared") or an earlier equal ("later")."""
 
     def run(batches):
         held = None  # the first row of a group that may go on
         for batch in batches:
             if not len(batch):
                 continue
-            k, g, doc, at = (longs(batch.column(i)) for i in range(4))
-            pos, sure = at >> 1, (at & 1).astype(bool)
+            k, doc, at = (longs(batch.column(i)) for i in range(3))
+            g, pos, sure = at >> 33, (at >> 1) & 0xFFFFFFFF, (at & 1).astype(bool)
             goes_on = held is not None and held[0] == k[0] and held[1] == g[0]
             if goes_on:
                 k, g, doc, pos, sure = (np.concatenate([[x], y]) for x, y in zip(held, (k, g, doc, pos, sure), strict=True))
@@ -189,7 +189,7 @@ def repeated_places(marked: DataFrame, window: int = WINDOW) -> DataFrame:
     """marked(id, text, copy) -> (id, at): the start words of the windows that also start earlier, but for those of copies."""
 
     def settle(df: DataFrame, which: str) -> DataFrame:
-        df = df.repartition("k").sortWithinPartitions("k", "h", "id", "at").mapInArrow(_settled(which), _PLACE)
+        df = df.repartition("k").sortWithinPartitions("k", F.shiftright("at", 33), "id", "at").mapInArrow(_settled(which), _PLACE)
         return df.groupBy("id").agg(F.collect_list("pos").alias("at"))
 
     own = marked.where("not copy").select("id", "text")

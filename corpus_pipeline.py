@@ -52,7 +52,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each document as often as the mixture does: not at all, once, or once more for each further epoch."""
     taken = mix(docs, domain_of(F.col("source")), default_weights()).where("copies > 0").groupBy(ids().alias("id"), "sum").agg(F.max("copies").alias("copies"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), ids().alias("id"), F.crc32(F.coalesce("text", F.lit(""))).alias("sum"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), ids().alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("sum"))
     return rows.join(taken, ["id", "sum"]).select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 

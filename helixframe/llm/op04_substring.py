@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import ids, real_id, save, table
+from helixframe.llm.common import SPACES, ids, real_id, save, table
 from helixframe.llm.textkernel import U64, blocks, longs, mix, signed, window_hashes
 
 WINDOW = 20
@@ -218,3 +218,13 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLE = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^{SPACES}]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM w)),
+f AS (SELECT doc_id, i FROM g QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
+r AS (SELECT DISTINCT doc_id, i + j AS i FROM f, range({WINDOW}) AS s(j)),
+k AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS kept FROM (SELECT doc_id, i, w[i] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)) ANTI JOIN r USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""

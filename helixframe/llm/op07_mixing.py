@@ -45,8 +45,8 @@ def fill(children: DataFrame, parent: list[str], node: str) -> DataFrame:
     upto = F.col("passed") - F.col("out")
 
     def floor(w: Column) -> Column:
-        # whole tokens below rest * w / share; decimals hold the product exactly
-        return F.floor(rest.cast("decimal(38,0)") * w / F.greatest(share, F.lit(1)).cast("decimal(20,0)")).cast("long")
+        # whole tokens of rest * w / share; decimals hold the product exactly
+        return F.call_function("div", rest.cast("decimal(20,0)") * w.cast("decimal(18,0)"), F.greatest(share, F.lit(1)).cast("decimal(20,0)")).cast("long")
 
     own = F.when(F.col("full") == 1, F.col("cap")).otherwise(F.least("cap", floor(upto + F.col("weight")) - floor(upto)))
     return c.withColumn("budget", own).drop("had", "passed", "all_weight", "money", "full", "spent", "out")
@@ -68,7 +68,7 @@ def budgets(leaves: DataFrame, total, max_epochs: int, weights) -> DataFrame:
 
 
 def mix(docs: DataFrame, domain: Column, weights, percent: int = 90, max_epochs: int = 2, seed: int = 7) -> DataFrame:
-    """docs(doc_id, text, lang, source) -> one row per input row: doc_id, sum (crc32 of the text), domain, language, source, n_tokens, copies.
+    """docs(doc_id, text, lang, source) -> one row per input row: doc_id, sum (md5 of the text), domain, language, source, n_tokens, copies.
 
     Tokens are words. The budget is `percent` of all tokens. copies is how often
     the mixture takes the document (0 to max_epochs). Null languages and sources
@@ -80,7 +80,7 @@ def mix(docs: DataFrame, domain: Column, weights, percent: int = 90, max_epochs:
     """
     text = F.coalesce("text", F.lit(""))
     word = F.array_size(F.array_remove(F.split(text, f"[{SPACES}]+"), "")).cast("long")
-    rows = docs.select("doc_id", domain.alias("domain"), F.coalesce("lang", F.lit("?")).alias("language"), F.coalesce("source", F.lit("?")).alias("source"), word.alias("n_tokens"), F.crc32(text).alias("sum"))
+    rows = docs.select("doc_id", domain.alias("domain"), F.coalesce("lang", F.lit("?")).alias("language"), F.coalesce("source", F.lit("?")).alias("source"), word.alias("n_tokens"), F.md5(text).alias("sum"))
     leaf = list(LEVELS)
     rows = save(rows, "mixed")
     leaves = rows.groupBy(*leaf).agg(F.sum("n_tokens").alias("tokens"))
@@ -89,7 +89,7 @@ def mix(docs: DataFrame, domain: Column, weights, percent: int = 90, max_epochs:
     plan = plan.withColumn("epochs", F.when(F.col("tokens") > 0, F.least(F.lit(max_epochs).cast("long"), F.expr("budget div greatest(tokens, 1)"))).otherwise(0))
     plan = save(plan.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens")), "plan")
     marked = rows.join(plan.select(*leaf, "epochs", "rest"), leaf)
-    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), F.col("sum").cast("string")))
+    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), "sum"))
     marked = marked.withColumn("place", place).withColumn("bucket", F.substring("place", 1, 3))
     sums = marked.groupBy(*leaf, "bucket").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
     sums = sums.withColumn("before", F.sum("n").over(Window.partitionBy(*leaf).orderBy("bucket")) - F.col("n"))  # 4096 rows a leaf at most
@@ -118,5 +118,35 @@ def default_weights() -> tuple[Column, Column, Column]:
     return tuple(w.cast("long") for w in (domain, language, F.lit(1)))
 
 
+def _fill_sql(name: str, nodes: str, keys: tuple[str, ...], parent: tuple[str, ...]) -> str:
+    """CTEs name_a to name: `fill` in SQL."""
+    per = f"PARTITION BY {', '.join(parent)} " if parent else ""
+    order = f"{per}ORDER BY cap / weight, {keys[-1]}"
+    floor = "((money - spent)::HUGEINT * ({0})) // greatest(aw - gone, 1)"
+    return f"""{name}_a AS (SELECT *, coalesce(sum(cap) OVER o, 0) AS had, coalesce(sum(weight) OVER o, 0) AS passed, sum(weight) OVER w AS aw, least(budget, sum(cap) OVER w) AS money
+        FROM ({nodes}) WINDOW o AS ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), w AS ({per})),
+    {name}_b AS (SELECT *, min(((money - had)::HUGEINT * weight >= cap::HUGEINT * (aw - passed))::INT) OVER ({order} ROWS UNBOUNDED PRECEDING) AS full FROM {name}_a),
+    {name}_c AS (SELECT *, sum("full" * cap) OVER w AS spent, sum("full" * weight) OVER w AS gone FROM {name}_b WINDOW w AS ({per})),
+    {name} AS (SELECT {', '.join(keys)}, (CASE WHEN "full" = 1 THEN cap ELSE least(cap, {floor.format('passed - gone + weight')} - {floor.format('passed - gone')}) END)::BIGINT AS budget FROM {name}_c)"""
+
+
+_NODES = "SELECT {0}, sum(2 * tokens)::BIGINT AS cap, {1}::BIGINT AS weight{2} FROM leaves {3} GROUP BY ALL"
+_DOMAIN = "CASE WHEN domain = 'crawl' THEN 30 WHEN domain = 'books' THEN 40 WHEN domain = 'forums' THEN 30 ELSE 5 END"
+_NUMBER = "regexp_extract(coalesce(source, ''), '([0-9]{1,9})$', 1)"
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, md5(coalesce(text, '')) AS sum, CASE WHEN {_NUMBER} = '' THEN 'other' WHEN {_NUMBER} = '0' THEN 'crawl' WHEN {_NUMBER}::INT % 2 = 0 THEN 'books' ELSE 'forums' END AS domain,
+    coalesce(lang, '?') AS language, coalesce(source, '?') AS source, len(regexp_extract_all(coalesce(text, ''), '[^{SPACES}]+'))::BIGINT AS n_tokens FROM documents),
+leaves AS (SELECT domain, language, source, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY ALL),
+total AS (SELECT floor(sum(tokens) * 90 / 100)::BIGINT AS budget FROM leaves),
+{_fill_sql("f1", _NODES.format("domain", _DOMAIN, ", any_value(budget) AS budget", "CROSS JOIN total"), LEVELS[:1], ())},
+{_fill_sql("f2", _NODES.format("domain, language", "CASE WHEN language = 'en' THEN 50 ELSE 20 END", ", any_value(budget) AS budget", "JOIN f1 USING (domain)"), LEVELS[:2], LEVELS[:1])},
+{_fill_sql("f3", _NODES.format("domain, language, source", "1", ", any_value(budget) AS budget", "JOIN f2 USING (domain, language)"), LEVELS, LEVELS[:2])},
+p AS (SELECT f3.*, CASE WHEN tokens > 0 THEN least(2, budget // greatest(tokens, 1)) ELSE 0 END AS epochs, tokens FROM f3 JOIN leaves USING (domain, language, source)),
+m AS (SELECT d.*, epochs, budget - epochs * tokens AS rest, md5('7:' || epochs || ':' || coalesce(doc_id::VARCHAR, '?') || ':' || sum) AS place FROM d JOIN p USING (domain, language, source)),
+e AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, language, source ORDER BY place RANGE UNBOUNDED PRECEDING) AS upto FROM m)
+SELECT doc_id, sum, domain, language, source, n_tokens, (epochs + (n_tokens > 0 AND rest > 0 AND upto <= rest)::INT)::INT AS copies FROM e
+"""
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), domain_of(F.col("source")), default_weights())

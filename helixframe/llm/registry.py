@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helixframe.llm import op09_quality
+from helixframe.llm import op01_minhash, op04_substring, op07_mixing, op09_quality
 from helixframe.llm.op01_minhash import op1_minhash_near_dedup
 from helixframe.llm.op02_decontam import op2_decontamination
 from helixframe.llm.op03_urls import op3_url_filter
@@ -29,4 +29,9 @@ QUERIES = {
         op10_ring_sharding,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op9_quality_rules": op09_quality.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": op01_minhash.ORACLE,
+    "op4_substring_dedup": op04_substring.ORACLE,
+    "op7_source_mixing": op07_mixing.ORACLE,
+    "op9_quality_rules": op09_quality.ORACLE,
+}

@@ -57,7 +57,7 @@ def test_registered():
     assert "pipeline" in names and set(__spark_entry__.oracle_sql()) <= set(names)
 
 
-@pytest.mark.parametrize("name", ["op9_quality_rules"])
+@pytest.mark.parametrize("name", ["op1_minhash_near_dedup", "op4_substring_dedup", "op7_source_mixing", "op9_quality_rules"])
 def test_sql(spark, name):
     import duckdb
 

@@ -315,3 +315,35 @@ def test_sql_functions(spark):
     assert len(spark.sql("SELECT kmers('ACGTACGT', 5, 0) AS k").first().k) == 4
     assert spark.sql("SELECT spaced_kmers('ACGTACGTACGTACGT', 11, 16, 'cod', 0) AS k").first().k[0].kmer == 470407
     assert spark.sql("SELECT sg_align('ACGT', 'ACGT').alnscore AS s").first().s == 20
+
+
+def test_packed():
+    import struct
+
+    from helixframe.sources import packed
+
+    two = bytes([0b00011011, 0b11100100])
+    assert packed.unpack(two, 7) == "ACGTTGC"
+    old = struct.pack(">II", 1, 15 << 28 | 1 << 24 | 2)
+    assert packed.unpack(two, 8, old) == "ACNNTGCA"
+    new = struct.pack(">IIIII", 1 << 31 | 4, 5 << 28 | 0 << 16, 6, 10 << 28 | 1 << 16, 0)
+    assert packed.runs(new) == [(0, 2, "Y"), (6, 1, "R")] and packed.unpack(two, 8, new) == "YYGTTGRA"
+    assert packed.runs(new[:-4]) == [] and packed.runs(b"") == []
+
+
+def test_requests(spark, world, tmp_path):
+    import json
+
+    from helixframe.plans import requests
+
+    seqs, sequences, _ = world
+    ix.write(ix.build(sequences, 9), str(tmp_path), 2)
+    ask = {"k": 9, "mode": 1, "stage1_max_freq_frac_x10000": 10_000, "strand": 1, "queries": [{"qseqid": "q0", "sequence": seqs[0][200:300]}]}
+    roots = {"db": str(tmp_path)}
+    assert [r.sseqid for r in requests.answer(spark, roots, json.dumps(ask)).collect()] == ["ACC000"]
+    assert requests.answer(spark, roots, json.dumps(ask | {"seqidlist_mode": "exclude", "seqids": ["ACC000"]})).count() == 0
+    for bad in ({"queries": []}, {"db": "none"}, {"k": 8}, {"t": 16}):
+        with pytest.raises(ValueError):
+            requests.answer(spark, roots, json.dumps(ask | bad))
+    got = requests.settings({"stage2_max_gap": 0, "stage1_min_score_frac_x10000": 2500, "stage3_traceback": 1, "context_frac_x10000": 5000, "stage1_score": 2, "accept_qdegen": 0})
+    assert (got.max_gap, got.min_score, got.trace, got.context, got.matches, got.accept_degenerate) == (100, 0.25, True, "0.5000", True, False)

@@ -165,9 +165,12 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     def run(batches):
         model, cache, sums = shared.value, {}, None
         for texts in batches:
-            found = [letters(t) if model else [] for t in texts]
-            total = np.zeros((len(found), len(model.languages) + 1 if model else 1))
-            for r, words in enumerate(found):
+            if not model:
+                yield pd.DataFrame({"lang": ["und"] * len(texts), "score": [0.0] * len(texts)})
+                continue
+            total = np.zeros((len(texts), len(model.languages) + 1))
+            for r, text in enumerate(texts):  # the words of one text at a time are in memory
+                words = letters(text)
                 fresh = [w for w in dict.fromkeys(words) if w not in cache]
                 if fresh:
                     if sums is None or len(cache) + len(fresh) > CACHE:
@@ -180,11 +183,8 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
                     cache.update(zip(fresh, range(n, n + len(fresh)), strict=True))
                 if words:
                     total[r] = sums[[cache[w] for w in words]].sum(axis=0)
-            if not model:
-                yield pd.DataFrame({"lang": ["und"] * len(found), "score": [0.0] * len(found)})
-                continue
             p = model.probabilities(total)
-            some = np.array([bool(w) for w in found], bool)
+            some = total[:, -1] > 0
             names = np.array(model.languages, object)[p.argmax(axis=1)]
             yield pd.DataFrame({"lang": np.where(some, names, "und"), "score": np.where(some, p.max(axis=1), 0.0)})
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +78,13 @@ def build(sequences: DataFrame, k: int, span: int = 0, template: str = seeds.CON
     return Index(Meta(k, span, template, expand, positions, title), sequences, posts, counts, out)
 
 
+def kept(index: Index) -> Index:
+    """An index that is not written, kept in memory and on disk: searches read postings and counts several times."""
+    for part in (index.postings, index.counts, index.excluded):
+        part.persist(StorageLevel.MEMORY_AND_DISK)
+    return index
+
+
 def build_all(sequences: DataFrame, k: int, span: int, kind: str, **options) -> list[Index]:
     """One index for each template of a kind; "both" gives two."""
     return [build(sequences, k, span, t, **options) for t in seeds.templates(span, kind)]

@@ -24,8 +24,14 @@ def dna_sql(text: str, codes: bool = False) -> str:
     return f"regexp_replace(translate({text}, '{LETTERS + LETTERS.upper()}', '{to + to}'), '[^{keep}]', '', 'g')"
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table in fewer partitions than there are cores, such as one small file, dealt out; others as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def sequences(spark: SparkSession, sf_dir: str, codes: bool = False) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")
     return d.select((F.col("doc_id") % 2).cast("int").alias("volume"), F.col("doc_id").alias("oid"), F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("accession"), dna(F.col("text"), codes).alias("seq")).withColumn("slen", F.length("seq"))
 
 

@@ -361,7 +361,7 @@ def align_ungapped(spark, sf_dir):
 
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, q = bridge.sequences(spark, sf_dir), bridge.queries(spark, sf_dir)
-    return search([ix.build(s, K)], q, SearchConfig(mode=3, max_freq=1.0, strand=1, trace=True, context="0.1"))
+    return search([ix.kept(ix.build(s, K))], q, SearchConfig(mode=3, max_freq=1.0, strand=1, trace=True, context="0.1"))
 
 
 @query()
@@ -379,7 +379,7 @@ def sam_rows(spark, sf_dir):
 
 def _mode1(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, q = bridge.sequences(spark, sf_dir), bridge.queries(spark, sf_dir)
-    return search([ix.build(s, K)], q, SearchConfig(mode=1, max_freq=1.0, strand=1))
+    return search([ix.kept(ix.build(s, K))], q, SearchConfig(mode=1, max_freq=1.0, strand=1))
 
 
 _MODE1 = f"WITH {_stage1(K)}, r AS (SELECT c.qseqid, s.accession AS sseqid, '+' AS sstrand, length(q.seq)::INT AS qlen, length(s.seq)::INT AS slen, score AS coverscore, c.volume, c.oid FROM c JOIN q USING (qseqid) JOIN s USING (volume, oid))"
@@ -406,13 +406,13 @@ def json_grouped(spark, sf_dir):
 @query()
 def search_mode2(spark, sf_dir):
     s, q = bridge.sequences(spark, sf_dir), bridge.queries(spark, sf_dir)
-    return search([ix.build(s, K)], q, SearchConfig(results=10))
+    return search([ix.kept(ix.build(s, K))], q, SearchConfig(results=10))
 
 
 @query()
 def search_both(spark, sf_dir):
     s, q = bridge.sequences(spark, sf_dir), bridge.queries(spark, sf_dir)
-    return search(ix.build_all(s, K, SPAN, "both"), q, SearchConfig(strand=1, max_freq=1.0))
+    return search([ix.kept(i) for i in ix.build_all(s, K, SPAN, "both")], q, SearchConfig(strand=1, max_freq=1.0))
 
 
 # primers and retrieval -----------------------------------------------------

@@ -17,8 +17,8 @@ from helixframe.llm.op02_decontam import contaminated
 from helixframe.llm.op07_mixing import default_weights, domain_of, mix
 from helixframe.llm.op10_sharding import ring_shards
 
-#: Texts whose language is less likely than this, or that have no letters, go.
-MIN_LANGUAGE_SCORE = 0.5
+#: Texts whose likeliest language is less likely than this, or that have no letters, go; texts in two languages stay.
+MIN_LANGUAGE_SCORE = 0.3
 
 
 def _packed(docs: DataFrame) -> DataFrame:

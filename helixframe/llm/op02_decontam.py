@@ -5,10 +5,10 @@ words inside a sentence) and units (after a number) are typed placeholders.
 Windows of WINDOW such tokens are hash-joined with those of the benchmark items.
 Names depend on case, so windows that only replace numbers and units are joined
 too; a passage in other case still meets its item. Each match extends along its diagonal
-as far as the templates agree, and the run counts if it is long enough (RUN
-tokens, or the whole item), has at least half its tokens spelled out, and its slots are
-consistent: an item's value always stands for the same value in the document,
-and different ones for different ones. Equal slots throughout make a run
+as far as the templates agree. That stretch is cut where its slots are not
+consistent: in a run an item's value always stands for the same value in the document,
+and different ones for different ones. A run counts if it is long enough (RUN
+tokens, or the whole item) and has at least half its tokens spelled out. Equal slots throughout make a run
 "verbatim"; others "reparameterised".
 
 The benchmark is read in blocks of at most BLOCK tokens; the windows of one block, about 20 bytes
@@ -112,26 +112,45 @@ class Index:
         return maybe[self.h[at] == h[maybe]] if len(self.h) else maybe[:0]
 
 
-def _run(item: tuple, doc: tuple, i: int, d: int, which: int) -> tuple[int, int, str] | None:
-    """The run around item token i and document token d: its first token in the item, its end and its kind; None if it doesn't count."""
-    a, b = item[which], doc[which]
+def _stretch(a: np.ndarray, b: np.ndarray, i: int, d: int) -> tuple[int, int]:
+    """How many tokens before and from item token i and document token d agree on their diagonal."""
     low = min(i, d)
     differ = np.flatnonzero(a[i - low : i] != b[d - low : d])
     low = low if not len(differ) else low - 1 - differ[-1]
     high = min(len(a) - i, len(b) - d)
     differ = np.flatnonzero(a[i : i + high] != b[d : d + high])
-    high = high if not len(differ) else differ[0]
-    n = int(low + high)
-    slots = np.flatnonzero(np.isin(a[i - low : i + high], (NUM, NAME, UNIT)))
-    if n < min(RUN, len(a)) or 2 * len(slots) > n:
-        return None
-    x, y, t = (s[k - low : k + high][slots].tolist() for s, k in ((item[0], i), (doc[0], d), (a, i)))
+    return int(low), int(high if not len(differ) else differ[0])
+
+
+def _consistent(slots: list[tuple], at: list[int], n: int) -> list[tuple[int, int]]:
+    """The longest parts of n tokens in which the slots (kind, item's value, document's value), at these places, are consistent; no part lies in another."""
+    parts, left = [], 0  # left: first slot of the part
     to: dict = {}
     back: dict = {}
-    for u, v, kind in zip(x, y, t, strict=True):
-        if to.setdefault((kind, u), v) != v or back.setdefault((kind, v), u) != u:
-            return None
-    return int(i - low), int(i + high), "verbatim" if x == y else "reparameterised"
+    for s, (kind, u, v) in enumerate(slots):
+        v0, s0 = to.get((kind, u), (v, -1))
+        u1, s1 = back.get((kind, v), (u, -1))
+        clash = max(s0 if v0 != v else -1, s1 if u1 != u else -1)
+        if clash >= left:
+            parts.append((at[left - 1] + 1 if left else 0, at[s]))
+            left = clash + 1
+        to[kind, u], back[kind, v] = (v, s), (u, s)
+    return [*parts, (at[left - 1] + 1 if left else 0, n)]
+
+
+def _runs(item: tuple, doc: tuple, i: int, d: int, which: int) -> tuple[int, list[tuple[int, int, str]]]:
+    """Around item token i and document token d: where in the item the stretch on which the templates agree ends, and its runs that count: first token in the item, end and kind."""
+    low, high = _stretch(item[which], doc[which], i, d)
+    x, y, t = (s[k - low : k + high] for s, k in ((item[0], i), (doc[0], d), (item[which], i)))
+    at = np.flatnonzero(np.isin(t, (NUM, NAME, UNIT)))
+    slots = list(zip(t[at].tolist(), x[at].tolist(), y[at].tolist(), strict=True))
+    runs = []
+    for p, q in _consistent(slots, at.tolist(), low + high):
+        held = slice(*np.searchsorted(at, (p, q)))
+        if q - p < min(RUN, len(item[0])) or 2 * (held.stop - held.start) > q - p:
+            continue
+        runs.append((i - low + p, i - low + q, "verbatim" if all(u == v for _, u, v in slots[held]) else "reparameterised"))
+    return i + high, runs
 
 
 def matches(block: Templates, index: Index) -> list[tuple[int, int, int, int, str]]:
@@ -152,10 +171,10 @@ def matches(block: Templates, index: Index) -> list[tuple[int, int, int, int, st
                     n, i = int(index.where[j]), int(index.at[j])
                     if done.get((r, n, d - i), -1) > d or size < min(WINDOW, len(index.items[n][0])):
                         continue
-                    run = _run(index.items[n], block.of(r), i, d, which)
-                    if run:
-                        done[r, n, d - i] = d - i + run[1]
-                        found.setdefault((r, n), []).append(run)
+                    end, runs = _runs(index.items[n], block.of(r), i, d, which)
+                    done[r, n, d - i] = d - i + end
+                    if runs:
+                        found.setdefault((r, n), []).extend(runs)
     out = []
     for (r, n), runs in found.items():
         covered = set().union(*(range(a, b) for a, b, _ in runs))

@@ -399,6 +399,21 @@ def test_decontamination(spark, docs, nothing):
     assert not op02_decontam.decontaminate(docs[0], bench.limit(0)).where("contaminated").count()
 
 
+def test_decontamination_keeps_the_consistent_part(spark):
+    rng = random.Random(16)
+    words = text_of(rng, 30, 10**6).split()
+    item = " ".join([*words[:8], "4 5", *words[8:22], "6", *words[22:]])
+    rows = [
+        (1, item.replace(" 6 ", " 4 ")),  # 6 became 4, as 4 is: what stands before counts
+        (2, " ".join(item.split()[:25]) + " 5 " + text_of(rng, 20, 10**6)),  # a copied part, and a number that happens to fit
+        (3, item.replace(" 4 5 ", " 7 7 ").replace(" 6 ", " 7 ")),  # all three collide: the part around 6 is the longest
+        (4, " ".join(words[:8]) + " 4 4 " + " ".join(words[8:12]) + " end"),  # too short on both sides
+    ]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: (r.longest_run, r.kind) for r in op02_decontam.decontaminate(spark.createDataFrame(make(rows), SCHEMA), bench).collect()}
+    assert got == {1: (24, "verbatim"), 2: (25, "verbatim"), 3: (23, "reparameterised"), 4: (0, None)}
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     rng = random.Random(13)
     items = [(i, text_of(rng, 30, 10**6)) for i in range(20)]

@@ -4,14 +4,17 @@ Texts become sequences of lower-case tokens in which numbers, names (capitalised
 words inside a sentence) and units (after a number) are typed placeholders.
 Windows of WINDOW such tokens are hash-joined with those of the benchmark items.
 Names depend on case, so windows that only replace numbers and units are joined
-too; a passage in other case still meets its item. Each match extends along its diagonal
-as far as the templates agree. That stretch is cut where its slots are not
+too; a passage in other case still meets its item. Windows of the tokens as they
+stand are joined as well: a run of equal tokens that is long enough (RUN tokens, or the
+whole item) counts as "verbatim", whatever its tokens are.
+
+Each match of templates extends along its diagonal as far as they agree. That stretch is cut where its slots are not
 consistent: in a run an item's value always stands for the same value in the document,
-and different ones for different ones. A run counts if it is long enough (RUN
-tokens, or the whole item) and has at least half its tokens spelled out. Equal slots throughout make a run
-"verbatim"; others "reparameterised".
+and different ones for different ones. A run counts if it is long enough
+and has at least half its tokens spelled out; parts of a stretch that are so count where the whole is not.
+Equal slots throughout make a run "verbatim"; others "reparameterised".
 
-The benchmark is read in blocks of at most BLOCK tokens; the windows of one block, about 20 bytes
+The benchmark is read in blocks of at most BLOCK tokens; the windows and tokens of one block, about 100 bytes
 a token, go to the executors and all documents are matched with them, so
 memory is bounded however long the benchmark is. Results are per document and
 item, never per window.
@@ -92,7 +95,7 @@ class Index:
         h, where, at = [], [], []
         for n, item in enumerate(self.items):
             size = min(WINDOW, len(item[0]))
-            for seq in item[1:] if size else ():
+            for seq in item if size else ():
                 w = window_hashes(seq, size)
                 h.append(w), where.append(np.full(len(w), n)), at.append(np.arange(len(w)))
         h = np.concatenate(h) if h else np.zeros(0, U64)
@@ -138,25 +141,42 @@ def _consistent(slots: list[tuple], at: list[int], n: int) -> list[tuple[int, in
     return [*parts, (at[left - 1] + 1 if left else 0, n)]
 
 
+def _spelled(slot: np.ndarray, need: int) -> list[tuple[int, int]]:
+    """The longest parts of at least so many tokens of which at most half are slots; no part lies in another."""
+    if 2 * np.count_nonzero(slot) <= len(slot):
+        return [(0, len(slot))]
+    level = np.concatenate([[0], np.cumsum(np.where(slot, -1, 1))])
+    ahead = np.maximum.accumulate(level[::-1])  # from the end: the highest level from there on
+    starts = np.flatnonzero(level == np.minimum.accumulate(level))
+    starts = starts[np.unique(level[starts], return_index=True)[1][::-1]]  # where a level is reached first
+    ends = len(slot) - np.searchsorted(ahead, level[starts], "left")
+    new = np.diff(ends, prepend=-1) > 0
+    return [(a, b) for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True) if b - a >= need]
+
+
 def _runs(item: tuple, doc: tuple, i: int, d: int, which: int) -> tuple[int, list[tuple[int, int, str]]]:
-    """Around item token i and document token d: where in the item the stretch on which the templates agree ends, and its runs that count: first token in the item, end and kind."""
+    """Around item token i and document token d: where in the item the stretch on which the sequences agree ends, and its runs that count: first token in the item, end and kind."""
     low, high = _stretch(item[which], doc[which], i, d)
+    need = min(RUN, len(item[0]))
+    if low + high < need:
+        return i + high, []
+    if which == 0:
+        return i + high, [(i - low, i + high, "verbatim")]
     x, y, t = (s[k - low : k + high] for s, k in ((item[0], i), (doc[0], d), (item[which], i)))
-    at = np.flatnonzero(np.isin(t, (NUM, NAME, UNIT)))
+    slot = np.isin(t, (NUM, NAME, UNIT))
+    at = np.flatnonzero(slot)
     slots = list(zip(t[at].tolist(), x[at].tolist(), y[at].tolist(), strict=True))
-    runs = []
+    runs = set()
     for p, q in _consistent(slots, at.tolist(), low + high):
-        held = slice(*np.searchsorted(at, (p, q)))
-        if q - p < min(RUN, len(item[0])) or 2 * (held.stop - held.start) > q - p:
-            continue
-        runs.append((i - low + p, i - low + q, "verbatim" if all(u == v for _, u, v in slots[held]) else "reparameterised"))
-    return i + high, runs
+        if q - p >= need:
+            runs.update((p + a, p + b) for a, b in _spelled(slot[p:q], need))
+    return i + high, [(i - low + a, i - low + b, "verbatim" if (x[a:b] == y[a:b]).all() else "reparameterised") for a, b in sorted(runs)]
 
 
 def matches(block: Templates, index: Index) -> list[tuple[int, int, int, int, str]]:
     """(row, item, tokens of its longest run, tokens of it in runs, kind) for each item that a row holds."""
     found: dict[tuple[int, int], list] = {}
-    for which, seq in ((1, block.full), (2, block.plain)):
+    for which, seq in enumerate((block.raw, block.full, block.plain)):
         done: dict = {}
         for size in index.sizes:
             h = window_hashes(seq, size)

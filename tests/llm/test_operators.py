@@ -414,6 +414,35 @@ def test_decontamination_keeps_the_consistent_part(spark):
     assert got == {1: (24, "verbatim"), 2: (25, "verbatim"), 3: (23, "reparameterised"), 4: (0, None)}
 
 
+def test_decontamination_of_numbers(spark):
+    rng = random.Random(17)
+    series = " ".join(str(rng.randrange(10**6)) for _ in range(40))
+    other = " ".join(str(rng.randrange(10**6)) for _ in range(40))
+    words = text_of(rng, 14, 10**6)
+    items = [(1, "Compute 12 + 7 - 3 * 4"), (2, series), (3, words + " 5 " + series), (4, "hours of sleep a night are enough for most")]
+    rows = [
+        (1, "Please compute 12 + 7 - 3 * 4 now"),
+        (2, "Please compute 11 + 8 - 2 * 5 now"),  # mostly slots, and no copy
+        (3, "table " + " ".join(series.split()[10:25])),
+        (4, other),
+        (5, words + " 6 " + other),  # the words and as many numbers
+        (6, "table " + " ".join(series.split()[10:22])),
+        (7, "At least 8 hours of sleep a night are enough for most people"),
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.run, r.kind) for r in op02_decontam.contaminated(spark.createDataFrame(make(rows), SCHEMA), bench).collect()}
+    assert got == {(1, 1): (5, "verbatim"), (3, 2): (15, "verbatim"), (3, 3): (15, "verbatim"), (5, 3): (28, "reparameterised"), (7, 4): (9, "verbatim")}
+
+
+def test_parts_that_are_spelled_out():
+    rng = np.random.default_rng(18)
+    for _ in range(300):
+        slot = rng.random(rng.integers(1, 30)) < 0.6
+        need = int(rng.integers(1, 8))
+        fit = [(a, b) for a in range(len(slot)) for b in range(a + need, len(slot) + 1) if 2 * slot[a:b].sum() <= b - a]
+        assert sorted(op02_decontam._spelled(slot, need)) == [x for x in fit if not any(y != x and y[0] <= x[0] and x[1] <= y[1] for y in fit)] or len(slot) < need
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     rng = random.Random(13)
     items = [(i, text_of(rng, 30, 10**6)) for i in range(20)]

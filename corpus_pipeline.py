@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from helixframe.llm import op08_langid
 from helixframe.llm.common import ids, save, table
 from helixframe.llm.op01_minhash import near_duplicates
-from helixframe.llm.op02_decontam import contaminated
+from helixframe.llm.op02_decontam import contaminated_texts
 from helixframe.llm.op07_mixing import default_weights, domain_of, mix
 from helixframe.llm.op10_sharding import ring_shards
 
@@ -45,8 +45,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a benchmark item or a long enough passage of one."""
-    gone = contaminated(docs, table(spark, sf_dir, "benchmark")).select(ids().alias("id")).distinct()
-    return _packed(docs).join(gone, "id", "left_anti").select("row.*")
+    gone = contaminated_texts(docs, table(spark, sf_dir, "benchmark")).select("id", "sum").distinct()
+    # a null text has another checksum in _packed, but holds nothing
+    return _packed(docs).join(gone, ["id", "sum"], "left_anti").select("row.*")
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

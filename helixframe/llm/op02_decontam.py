@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import ids, real_id, save, table
@@ -204,13 +204,13 @@ def matches(block: Templates, index: Index) -> list[tuple[int, int, int, int, st
 
 
 def _scan(shared):
-    schema = pa.schema([("id", pa.int64()), ("item_id", pa.int64()), ("run", pa.int64()), ("covered", pa.int64()), ("kind", pa.string())])
+    schema = pa.schema([("id", pa.int64()), ("sum", pa.int64()), ("item_id", pa.int64()), ("run", pa.int64()), ("covered", pa.int64()), ("kind", pa.string())])
 
     def run(batches):
         index = shared.value
         for block in blocks(batches, kind=Templates):
-            doc = longs(block.batch.column(0))
-            found = [(int(doc[r]), *rest) for r, *rest in matches(block, index)]
+            doc, sums = longs(block.batch.column(0)), longs(block.batch.column(1))
+            found = [(int(doc[r]), int(sums[r]), *rest) for r, *rest in matches(block, index)]
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in found], schema=schema)
 
     return run
@@ -229,23 +229,39 @@ def item_blocks(benchmark: DataFrame, most: int = BLOCK):
         yield block
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs(doc_id, text), benchmark(item_id, text) -> one row per document and item found in it: doc_id, item_id, run, covered, kind.
+def text_sum() -> Column:
+    """What tells the texts of one doc_id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
 
-    Items of fewer than WINDOW tokens are found whole. Null and empty texts hold
-    nothing and are held nowhere. Rows that repeat a doc_id are one document;
-    items that repeat an item_id are one item: the longest run stands for them. An empty table on
-    either side gives no rows. Other columns are ignored.
+def contaminated_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs(doc_id, text), benchmark(item_id, text) -> one row per doc_id, text and item found in it: id, sum, item_id, run, covered, kind.
+
+    id is `ids` of doc_id, sum the `text_sum`. Items of fewer than WINDOW tokens
+    are found whole. Null and empty texts hold nothing and are held nowhere.
+    Items that repeat an item_id are one item: the longest run stands for them.
+    An empty table on either side gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(ids().alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    schema = "id long, item_id long, run long, covered long, kind string"
+    rows = docs.select(ids().alias("id"), text_sum().alias("sum"), F.coalesce("text", F.lit("")).alias("text"))
+    schema = "id long, sum long, item_id long, run long, covered long, kind string"
     found = spark.createDataFrame([], schema)
     for block in item_blocks(benchmark):
         shared = spark.sparkContext.broadcast(Index(block))
         found = found.unionByName(save(rows.mapInArrow(_scan(shared), schema), "found"))
-    best = found.groupBy("id", "item_id").agg(F.max(F.struct("run", "covered", "kind")).alias("b"))
-    return best.select(real_id(F.col("id")).alias("doc_id"), real_id(F.col("item_id")).alias("item_id"), "b.*")
+    best = found.groupBy("id", "sum", "item_id").agg(F.max(F.struct("run", "covered", "kind")).alias("b"))
+    return best.select("id", "sum", real_id(F.col("item_id")).alias("item_id"), "b.*")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs(doc_id, text), benchmark(item_id, text) -> one row per document and item found in it: doc_id, sum, item_id, run, covered, kind.
+
+    Rows that repeat a doc_id are one document: the longest run stands for them, and
+    sum is null. A null doc_id names no document: each of its texts is one, with
+    its `text_sum`. Other cases as in `contaminated_texts`.
+    """
+    found = contaminated_texts(docs, benchmark).withColumn("doc_id", real_id(F.col("id"))).withColumn("sum", F.when(F.col("doc_id").isNull(), F.col("sum")))
+    return found.groupBy("doc_id", "sum", "item_id").agg(F.max(F.struct("run", "covered", "kind")).alias("b")).select("doc_id", "sum", "item_id", "b.*")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -253,9 +269,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Cases as in `contaminated`.
     """
-    found = contaminated(docs, benchmark).groupBy("doc_id").agg(F.count("*").alias("n_items"), F.sort_array(F.collect_set("item_id")).alias("items"), F.max("run").alias("longest_run"), F.max("kind").alias("kind"))
-    found = found.withColumnRenamed("doc_id", "of")
-    out = docs.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("of")), "left")
+    found = contaminated(docs, benchmark).groupBy(F.col("doc_id").alias("of"), F.col("sum").alias("of_sum")).agg(F.count("*").alias("n_items"), F.sort_array(F.collect_set("item_id")).alias("items"), F.max("run").alias("longest_run"), F.max("kind").alias("kind"))
+    rows = docs.select("doc_id", F.when(F.col("doc_id").isNull(), text_sum()).alias("sum"))
+    out = rows.join(found, F.col("doc_id").eqNullSafe(F.col("of")) & F.col("sum").eqNullSafe(F.col("of_sum")), "left")
     return out.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items", F.expr("cast(array() as array<bigint>)")).alias("items"), F.coalesce("longest_run", F.lit(0)).alias("longest_run"), "kind")
 
 

@@ -443,6 +443,15 @@ def test_parts_that_are_spelled_out():
         assert sorted(op02_decontam._spelled(slot, need)) == [x for x in fit if not any(y != x and y[0] <= x[0] and x[1] <= y[1] for y in fit)] or len(slot) < need
 
 
+def test_decontamination_without_doc_ids(spark):
+    rng = random.Random(19)
+    item, clean = text_of(rng, 30, 10**6), [text_of(rng, 30, 10**6) for _ in range(3)]
+    rows = [(None, item), (None, clean[0]), (None, clean[1]), (None, item + " end"), (None, None), (1, item), (1, clean[2])]
+    df, bench = spark.createDataFrame(make(rows), SCHEMA), spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = op02_decontam.decontaminate(df, bench).collect()
+    assert sorted((str(r.doc_id), r.contaminated) for r in got) == [("1", True)] * 2 + [("None", False)] * 3 + [("None", True)] * 2
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     rng = random.Random(13)
     items = [(i, text_of(rng, 30, 10**6)) for i in range(20)]

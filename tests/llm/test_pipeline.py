@@ -45,6 +45,16 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, out).count() == len(kept["sharding"])
 
 
+def test_decontamination_decides_by_row(spark, tmp_path):
+    rng = random.Random(2)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))
+    item, clean = text(), [text() for _ in range(3)]
+    rows = [(i, t, "aa", "src1", 9, "r", "i", "s", 3) for i, t in [(None, item), (None, clean[0]), (None, clean[1]), (None, None), (7, item), (7, clean[2]), (7, clean[2])]]
+    out = make(spark, tmp_path, rows, [(1, item)])
+    got = corpus_pipeline.decontamination(spark, spark.read.parquet(f"{out}/documents.parquet"), out).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted([("None", clean[0]), ("None", clean[1]), ("None", "None"), ("7", clean[2]), ("7", clean[2])])
+
+
 def test_nothing_to_do(spark, tmp_path):
     out = make(spark, tmp_path, [], [])
     assert corpus_pipeline.run(spark, out).count() == 0

@@ -35,6 +35,8 @@ RULES = (
 #: A cheap test without which a text has no match of the rule.
 HINTS = ("@", r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", r"(?:[0-9][\x20-]?){14}", r"\+[0-9]")
 CANDIDATE = r"(?<!\S)(?:[^\s@]{1,64}(?:@|\[at\]|\(at\))[^\s@]{3,255}|\+?[0-9(][0-9().\x20-]{5,40}[0-9]|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){3,7})(?!\w)"
+#: A text without this has no candidate: each way through CANDIDATE holds one of these.
+CANDIDATE_HINT = r"[0-9@]|\[at\]|\(at\)|[0-9A-Fa-f](?::[0-9A-Fa-f]{0,4}){3}"
 SHAPES = (r"@|\[at\]|\(at\)", r"^[0-9A-Fa-f:.]*[.:][0-9A-Fa-f:.]*$", r"^[0-9\x20-]+$", r"^[+0-9(][0-9().\x20-]+$")
 ROUNDS, CONFIDENT, SUPPORT, PRIOR, CONTEXT = 3, 0.8, 5, 1.0, 80
 _SPANS = "array<struct<start:int,kind:int,end:int,value:string,left:string>>"
@@ -144,7 +146,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", text.alias("text"))
     none = F.expr(f"cast(array() as {_SPANS})")
     key = F.struct(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.xxhash64("text").alias("h"), F.length("text").alias("n"))
-    found = rows.select("doc_id", key.alias("key"), base_spans(F.col("text")).alias("base"), F.when(F.col("text").rlike("[0-9@]"), _matches(F.col("text"), CANDIDATE, -1)).otherwise(none).alias("all"))
+    found = rows.select("doc_id", key.alias("key"), base_spans(F.col("text")).alias("base"), F.when(F.col("text").rlike(CANDIDATE_HINT), _matches(F.col("text"), CANDIDATE, -1)).otherwise(none).alias("all"))
     apart = F.filter("all", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     found = save(found.select("doc_id", "key", "base", apart.alias("candidates")), "found")
     more = discovered(found.where("size(base) + size(candidates) > 0").select("key", "base", "candidates"))

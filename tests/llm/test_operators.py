@@ -187,6 +187,21 @@ def test_contexts_find_unseen_identifiers(spark):
     assert [rows[30][1][s.start : s.end] for s in got[100]] == ["(555) 777-1234"] and got[101] == []
 
 
+def test_candidates_without_digits(spark):
+    rows = [(i, f"please write to john{i}@example.com or see host 10.0.0.{i} now") for i in range(30)]
+    rows += [(100, "please write to john[at]example.com now"), (101, "please write to ann(at)example.com now"), (102, "see host fe::ab:cd:ef now"), (103, "see page: one, a: b: c")]
+    got = {r.doc_id: [(op05_pii.KINDS[s.kind], s.value) for s in r.spans] for r in op05_pii.personal_data(spark.createDataFrame(make(rows), SCHEMA)).collect()}
+    assert [got[i] for i in range(100, 104)] == [[("email", "john[at]example.com")], [("email", "ann(at)example.com")], [("ip", "fe::ab:cd:ef")], []]
+
+
+def test_candidate_hint_is_implied():
+    rng = random.Random(20)
+    pattern = lambda p: re.compile(p)
+    found, hint = pattern(op05_pii.CANDIDATE), pattern(op05_pii.CANDIDATE_HINT)
+    texts = ["".join(rng.choices(["a", "F", ":", "::", "[at]", "(at)", "@", "1", ".", " ", "(", "x"], k=rng.randrange(3, 20))) for _ in range(5000)]
+    assert all(hint.search(t) for t in texts if found.search(t)) and sum(bool(found.search(t)) for t in texts) > 100
+
+
 def test_tokens(spark, docs, nothing):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer

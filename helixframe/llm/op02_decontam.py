@@ -14,7 +14,8 @@ and different ones for different ones. A run counts if it is long enough
 and has at least half its tokens spelled out; parts of a stretch that are so count where the whole is not.
 Equal slots throughout make a run "verbatim"; others "reparameterised".
 
-The benchmark is read in blocks of at most BLOCK tokens; the windows and tokens of one block, about 100 bytes
+The benchmark is read in blocks of BLOCK characters (and the rest of the last item), which are at most half as
+many tokens; the windows and tokens of one block, about 100 bytes
 a token, go to the executors and all documents are matched with them, so
 memory is bounded however long the benchmark is. Results are per document and
 item, never per window.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from helixframe.llm.common import ids, real_id, save, table
 from helixframe.llm.textkernel import U64, Block, blocks, longs, window_hashes
 
-WINDOW, RUN, BLOCK = 8, 13, 1_000_000
+WINDOW, RUN, BLOCK, PAIRS = 8, 13, 4_000_000, 1 << 20
 #: Units that count as such after a number. Fixed values.
 UNITS = "mm cm m km in inch inches ft feet foot yd yard yards mile miles mg g kg lb lbs oz ton tons ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years usd eur gbp dollar dollars euro euros cent cents percent degrees mph kmh kph hz khz mhz ghz kb mb gb tb w kw v a j kj cal kcal".split()
 NUM, NAME, UNIT = (U64(x) for x in (11, 12, 13))
@@ -85,6 +86,23 @@ _UNIT_HASHES = np.zeros(0, U64)
 _UNIT_HASHES = Templates(pa.RecordBatch.from_pydict({"text": [" ".join(UNITS)]}), "text").raw
 
 
+def _worth(seq: np.ndarray, size: int) -> np.ndarray:
+    """Windows of an item's template that a run that counts can need.
+
+    A run has at least half its tokens spelled out. One of RUN tokens or more then
+    holds a window that has so too, as the windows of more slots would add up to
+    more than half of the run; so these are left out, and rows of placeholders,
+    which any table of numbers is, meet nothing. A shorter run is a whole item:
+    all its windows stay, or none if the item is more than half slots.
+    """
+    slot = np.isin(seq, (NUM, NAME, UNIT))
+    n = len(seq) - size + 1
+    if len(seq) < RUN:
+        return np.arange(n if 2 * np.count_nonzero(slot) <= len(seq) else 0)
+    level = np.concatenate([[0], np.cumsum(slot)])
+    return np.flatnonzero(2 * (level[size:] - level[:n]) <= size)
+
+
 class Index:
     """Sorted window hashes of a block of items, and where they stand."""
 
@@ -95,15 +113,17 @@ class Index:
         h, where, at = [], [], []
         for n, item in enumerate(self.items):
             size = min(WINDOW, len(item[0]))
-            for seq in item if size else ():
+            for which, seq in enumerate(item if size else ()):
                 w = window_hashes(seq, size)
-                h.append(w), where.append(np.full(len(w), n)), at.append(np.arange(len(w)))
+                places = np.arange(len(w)) if which == 0 else _worth(seq, size)
+                h.append(w[places]), where.append(np.full(len(places), n)), at.append(places)
         h = np.concatenate(h) if h else np.zeros(0, U64)
         order = np.argsort(h, kind="stable")
         self.h = h[order]
         self.where = (np.concatenate(where) if where else np.zeros(0, np.int64))[order]
         self.at = (np.concatenate(at) if at else np.zeros(0, np.int64))[order]
-        self.sizes = sorted({min(WINDOW, len(x[0])) for x in self.items} - {0})
+        self.size = np.array([min(WINDOW, len(x[0])) for x in self.items] or [0])
+        self.sizes = sorted(set(self.size.tolist()) - {0})
         #: whether any hash has these last bits: most windows stop here
         self.bits = np.zeros(1 << _BITS, bool)
         self.bits[(self.h & U64((1 << _BITS) - 1)).astype(np.int64)] = True
@@ -115,14 +135,21 @@ class Index:
         return maybe[self.h[at] == h[maybe]] if len(self.h) else maybe[:0]
 
 
+def _agree(a: np.ndarray, b: np.ndarray) -> int:
+    """How many first elements of two arrays of one length are the same, read in parts that grow."""
+    low, step = 0, 64
+    while low < len(a):
+        differ = np.flatnonzero(a[low : low + step] != b[low : low + step])
+        if len(differ):
+            return low + int(differ[0])
+        low, step = low + step, 4 * step
+    return len(a)
+
+
 def _stretch(a: np.ndarray, b: np.ndarray, i: int, d: int) -> tuple[int, int]:
     """How many tokens before and from item token i and document token d agree on their diagonal."""
-    low = min(i, d)
-    differ = np.flatnonzero(a[i - low : i] != b[d - low : d])
-    low = low if not len(differ) else low - 1 - differ[-1]
-    high = min(len(a) - i, len(b) - d)
-    differ = np.flatnonzero(a[i : i + high] != b[d : d + high])
-    return int(low), int(high if not len(differ) else differ[0])
+    low, high = min(i, d), min(len(a) - i, len(b) - d)
+    return _agree(a[i - low : i][::-1], b[d - low : d][::-1]), _agree(a[i : i + high], b[d : d + high])
 
 
 def _consistent(slots: list[tuple], at: list[int], n: int) -> list[tuple[int, int]]:
@@ -173,32 +200,57 @@ def _runs(item: tuple, doc: tuple, i: int, d: int, which: int) -> tuple[int, lis
     return i + high, [(i - low + a, i - low + b, "verbatim" if (x[a:b] == y[a:b]).all() else "reparameterised") for a, b in sorted(runs)]
 
 
+def _starts(block: Templates, index: Index, seq: np.ndarray, size: int):
+    """(row, item, item token, document token) where windows of so many tokens begin to agree on a diagonal, in order of diagonals and places.
+
+    Pairs of places are made and put in order PAIRS at a time; what goes on from
+    one part in the next begins again there.
+    """
+    h = window_hashes(seq, size)
+    if not len(h):
+        return
+    places = index.hits(h)
+    places = places[block.row[places] == block.row[places + size - 1]]
+    low = np.searchsorted(index.h, h[places], "left")
+    many = np.searchsorted(index.h, h[places], "right") - low
+    ends = np.cumsum(many)
+    at = 0
+    while at < len(places):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        some = many[at:to]
+        total = int(some.sum())
+        entry = np.repeat(low[at:to] - np.concatenate([[0], np.cumsum(some)[:-1]]), some) + np.arange(total)
+        p = np.repeat(places[at:to], some)
+        at = to
+        n, i = index.where[entry], index.at[entry]
+        right = index.size[n] == size
+        p, n, i = p[right], n[right], i[right]
+        r = block.row[p]
+        d = p - block.first[r]
+        order = np.lexsort((i, d - i, n, r))
+        r, n, i, d = r[order], n[order], i[order], d[order]
+        first = np.ones(len(r), bool)
+        first[1:] = (r[1:] != r[:-1]) | (n[1:] != n[:-1]) | ((d - i)[1:] != (d - i)[:-1]) | (i[1:] > i[:-1] + 1)
+        yield from zip(r[first].tolist(), n[first].tolist(), i[first].tolist(), d[first].tolist(), strict=True)
+
+
 def matches(block: Templates, index: Index) -> list[tuple[int, int, int, int, str]]:
     """(row, item, tokens of its longest run, tokens of it in runs, kind) for each item that a row holds."""
-    found: dict[tuple[int, int], list] = {}
+    found: dict[tuple[int, int], set] = {}
     for which, seq in enumerate((block.raw, block.full, block.plain)):
-        done: dict = {}
         for size in index.sizes:
-            h = window_hashes(seq, size)
-            if not len(h):
-                continue
-            places = index.hits(h)
-            places = places[block.row[places] == block.row[places + size - 1]]
-            for p in places.tolist():
-                r = int(block.row[p])
-                d = p - int(block.first[r])
-                for j in range(np.searchsorted(index.h, h[p], "left"), np.searchsorted(index.h, h[p], "right")):
-                    n, i = int(index.where[j]), int(index.at[j])
-                    if done.get((r, n, d - i), -1) > d or size < min(WINDOW, len(index.items[n][0])):
-                        continue
-                    end, runs = _runs(index.items[n], block.of(r), i, d, which)
-                    done[r, n, d - i] = d - i + end
-                    if runs:
-                        found.setdefault((r, n), []).extend(runs)
+            last, until = None, -1  # the diagonal before, and to which item token it is known
+            for r, n, i, d in _starts(block, index, seq, size):
+                if last == (r, n, d - i) and i < until:
+                    continue
+                last = r, n, d - i
+                until, runs = _runs(index.items[n], block.of(r), i, d, which)
+                if runs:
+                    found.setdefault((r, n), set()).update(runs)
     out = []
     for (r, n), runs in found.items():
         covered = set().union(*(range(a, b) for a, b, _ in runs))
-        longest = max(runs, key=lambda x: (x[1] - x[0], x[2] == "verbatim"))
+        longest = max(runs, key=lambda x: (x[1] - x[0], x[2]))
         out.append((r, index.ids[n], longest[1] - longest[0], len(covered), longest[2]))
     return sorted(out)
 
@@ -217,11 +269,11 @@ def _scan(shared):
 
 
 def item_blocks(benchmark: DataFrame, most: int = BLOCK):
-    """The benchmark's items in blocks of about `most` tokens, one after another through the driver."""
+    """The benchmark's items in blocks that reach `most` characters with their last item, one after another through the driver."""
     block, size = [], 0
     for row in benchmark.where("text is not null").select(ids("item_id").alias("id"), "text").toLocalIterator():
         block.append((row.id, row.text))
-        size += len(row.text) // 4
+        size += len(row.text)
         if size >= most:
             yield block
             block, size = [], 0

@@ -1,17 +1,22 @@
 """Personal data by fixed rules and by bootstrapped contextual extraction, in DataFrame functions only.
 
-The fixed rules give the base spans. They also seed the method: the one or two
-words before a span are its lexical patterns. Other strings that have the shape
-of a kind (`SHAPES`) but fail its rule are candidates, with patterns of their own. Spark
-scores the graph of patterns and instances in rounds: a pattern's score for a
-kind is the share of its distinct instances that are of that kind (a base
-instance counts 1, another as much as its own score), shrunk by `PRIOR` instances that are not; an instance's score is that of
-its best pattern. Candidates with a score of `CONFIDENT` or more become spans.
-Patterns need `SUPPORT` distinct base instances.
-
-Patterns start wherever a match starts, so the rules run once over each text;
-the graph holds candidate rows only, and its sums are combined map-side, so a
-pattern before a third of all spans sends one row a task.
+The fixed rules give the base spans, which seed the method. Candidates are other
+strings of a form that a kind can have: addresses written with [at] or without a
+point, hexadecimal groups, and stretches of numbers, of which every part with
+the digits of a kind is one (a rule takes the longest stretch and drops it, so
+a card behind a phone number is in no base span). Each seed and each candidate induces lexical patterns:
+the words (what has a letter) before and behind it, alone, together and with a typed gap, and its own form, with
+and without the number of its digits and its first character.
+
+Spark scores the graph of patterns and instances in rounds. A pattern's score for
+a kind is the sum of its distinct instances' scores for that kind over the number of all its instances,
+those of other kinds and those that fail the kind's arithmetic included, and PRIOR more; it needs SUPPORT
+instances' worth. A seed's score is 1, that of a candidate that fails (Luhn) 0, that of another its best
+pattern's, so what is found seeds further patterns in the next round. Candidates with CONFIDENT or more become spans;
+where some of a kind overlap the first stands, of equal starts the longest.
+
+The graph holds seeds and candidates only; its sums are combined map-side, so a
+pattern of a third of all spans sends one row a task. Words are those of the CONTEXT characters on either side.
 
 The regular expressions below match what the published rules match: a run is
 entered at its start or where the last match ended (\\G) and never given back,
@@ -34,30 +39,51 @@ RULES = (
 )
 #: A cheap test without which a text has no match of the rule.
 HINTS = ("@", r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", r"(?:[0-9][\x20-]?){14}", r"\+[0-9]")
-CANDIDATE = r"(?<!\S)(?:[^\s@]{1,64}(?:@|\[at\]|\(at\))[^\s@]{3,255}|\+?[0-9(][0-9().\x20-]{5,40}[0-9]|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){3,7})(?!\w)"
-#: A text without this has no candidate: each way through CANDIDATE holds one of these.
-CANDIDATE_HINT = r"[0-9@]|\[at\]|\(at\)|[0-9A-Fa-f](?::[0-9A-Fa-f]{0,4}){3}"
-SHAPES = (r"@|\[at\]|\(at\)", r"^[0-9A-Fa-f:.]*[.:][0-9A-Fa-f:.]*$", r"^[0-9\x20-]+$", r"^[+0-9(][0-9().\x20-]+$")
-ROUNDS, CONFIDENT, SUPPORT, PRIOR, CONTEXT = 3, 0.8, 5, 1.0, 80
-_SPANS = "array<struct<start:int,kind:int,end:int,value:string,left:string>>"
+#: Candidates: addresses, hexadecimal groups, stretches of numbers; and for each what it implies.
+MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@|\[at\]|\(at\))[A-Za-z0-9-]++(?:(?:\.|\[dot\]|\(dot\))[A-Za-z0-9-]++)*+"
+HEX = r"(?<![\w:.])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){3,7}(?![\w:])"
+NUMBERS = r"(?<![\w.+])\+?\(?[0-9]++(?!\w)(?:[().\x20-]++[0-9]++(?!\w))*+"
+CANDIDATES = ((MAIL, r"@|\[at\]|\(at\)"), (HEX, r"[0-9A-Fa-f](?::[0-9A-Fa-f]{0,4}){3}"), (NUMBERS, r"[0-9]"))
+#: Without this a stretch of numbers has too few digits for any kind.
+DIGITS, FEWEST, MOST = r"(?:[0-9][().\x20-]*+){10}", 10, 19
+ROUNDS, CONFIDENT, SUPPORT, PRIOR, CONTEXT, NEAR = 4, 0.8, 5, 1.0, 80, 64
+_SPANS = "array<struct<start:int,kind:int,end:int,value:string,left:string,right:string>>"
+_BLOCK = 256
+
+
+def _none() -> Column:
+    return F.expr(f"cast(array() as {_SPANS})")
+
+
+def _before(sizes: Column) -> Column:
+    """For each number of an array the sum of those before it, in blocks, as appending copies an array."""
+
+    def sums(block: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        return F.aggregate(block, start, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")))
+
+    def joined(blocks: Column) -> Column:
+        return let(sums(F.transform(blocks, lambda b: b["at"])), lambda top: F.flatten(F.zip_with(blocks, top["out"], lambda b, at: F.transform(b["out"], lambda x: x + at))))
+
+    count = F.floor((F.size(sizes) + (_BLOCK - 1)) / _BLOCK).cast("int")
+    cut = F.transform(F.sequence(F.lit(1), count), lambda i: sums(F.slice(sizes, (i - 1) * _BLOCK + 1, F.lit(_BLOCK))))
+    return F.when(F.size(sizes) == 0, F.expr("cast(array() as array<int>)")).when(F.size(sizes) <= _BLOCK, sums(sizes)["out"]).otherwise(let(cut, joined))
 
 
 def _matches(text: Column, pattern: str, kind: int) -> Column:
-    """Spans of a pattern: what lies between its matches and the matches themselves add up to their places."""
+    """Spans of a pattern, with what stands beside them: what lies between its matches and the matches themselves add up to their places."""
 
-    def spans(parts: Column, found: Column) -> Column:
-        pairs = F.zip_with(F.slice(parts, F.lit(1), F.size(found)), found, lambda gap, value: F.struct(gap.alias("gap"), value.alias("value")))
-        start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {_SPANS})").alias("out"))
+    def spans(found: Column, gaps: Column) -> Column:
+        sizes = F.zip_with(gaps, found, lambda gap, value: F.length(gap) + F.coalesce(F.length(value), F.lit(0)))
 
-        def step(acc: Column, x: Column) -> Column:
-            low = acc["at"] + F.length(x["gap"])
-            high = low + F.length(x["value"])
-            span = F.struct(low.alias("start"), F.lit(kind).alias("kind"), high.alias("end"), x["value"].alias("value"), F.right(x["gap"], F.lit(CONTEXT)).alias("left"))
-            return F.struct(high.alias("at"), F.array_append(acc["out"], span).alias("out"))
+        def span(value: Column, i: Column, before: Column) -> Column:
+            start = before[i] + F.length(gaps[i])
+            left, right = F.right(gaps[i], F.lit(CONTEXT)), F.substring(gaps[i + 1], 1, CONTEXT)
+            return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(value)).alias("end"), value.alias("value"), left.alias("left"), right.alias("right"))
 
-        return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+        return let(_before(sizes), lambda before: F.transform(found, lambda value, i: span(value, i, before)))
 
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: spans(F.split(text, pattern, -1), found))
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) == 0, _none()).otherwise(let(F.split(text, pattern, -1), lambda gaps: spans(found, gaps))))
 
 
 def _luhn(digits: Column) -> Column:
@@ -94,67 +120,169 @@ def _is(kind: int):
 
 def base_spans(text: Column) -> Column:
     """All base spans of a text by start, then kind."""
-    none = F.expr(f"cast(array() as {_SPANS})")
     each = []
     for kind, rule in enumerate(RULES):
         hint = text.contains("@") if kind == 0 else text.rlike(HINTS[kind])
-        each.append(F.when(hint, F.filter(_matches(text, rule, kind), _passes(kind))).otherwise(none))
+        each.append(F.when(hint, F.filter(_matches(text, rule, kind), _passes(kind))).otherwise(_none()))
     return F.sort_array(F.concat(*each))
 
 
+def candidate_spans(text: Column) -> Column:
+    """Addresses, hexadecimal groups and stretches of numbers with enough digits (of kind -1)."""
+    each = []
+    for kind, (pattern, hint) in enumerate(CANDIDATES):
+        number = pattern is NUMBERS
+        found = _matches(text, pattern, -1 if number else kind)
+        found = F.filter(found, lambda s: s["value"].rlike(DIGITS)) if number else found
+        each.append(F.when(text.rlike(DIGITS if number else hint), found).otherwise(_none()))
+    return F.concat(*each)
+
+
 def _written(spans: Column) -> Column:
     kind = lambda k: F.element_at(F.array(*map(F.lit, KINDS)), k + 1)
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", kind(s["kind"]), s["start"].cast("string"), s["end"].cast("string"))))
 
 
-def _patterns(left: Column) -> Column:
-    """The last word before a span, and the last two, in lower case."""
-    return let(
-        F.array_remove(F.split(F.lower(left), r"\s+"), ""),
-        lambda w: F.when(F.size(w) == 0, F.expr("cast(array() as array<string>)")).when(F.size(w) == 1, F.array(w[0])).otherwise(F.array(F.element_at(w, -1), F.concat_ws(" ", F.element_at(w, -2), F.element_at(w, -1)))),
-    )
-
-
-def discovered(found: DataFrame) -> DataFrame:
-    """found(key, base, candidates) -> (key, spans) that confident patterns add."""
-    seeds = found.select("key", F.explode("base").alias("s")).select("key", "s", F.col("s.kind").alias("kind"), F.lit(True).alias("is_base"))
-    shaped = F.array(*[F.when(F.col("s.value").rlike(shape), F.lit(k)) for k, shape in enumerate(SHAPES)])
-    others = found.select("key", F.explode("candidates").alias("s")).select("key", "s", F.explode(F.filter(shaped, lambda k: k.isNotNull())).alias("kind"), F.lit(False).alias("is_base"))
-    edges = seeds.union(others).select("kind", "is_base", F.xxhash64("s.value").alias("instance"), F.explode(_patterns(F.col("s.left"))).alias("pattern"))
-    edges = edges.groupBy("kind", "pattern", "instance").agg(F.max("is_base").alias("is_base"))
-    able = edges.groupBy("kind", "pattern").agg(F.count_if("is_base").alias("seeds"), F.count_if(~F.col("is_base")).alias("others")).where(f"seeds >= {SUPPORT} and others > 0")
-    edges = save(edges.join(able.select("kind", "pattern"), ["kind", "pattern"], "left_semi"), "edges")
-    score = F.when(F.col("is_base"), 1.0).otherwise(0.0)
-    scored = edges.withColumn("score", score)
+def _form(value: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(value, "[0-9]", "9"), "[^\\W\\d_]+", "a")
+
+
+def _patterns(value: Column, left: Column, right: Column) -> Column:
+    """Hashes of the lexical patterns that a string and its surroundings induce."""
+
+    def of(l: Column, r: Column, form: Column) -> Column:
+        one, two, next_ = F.get(l, F.size(l) - 1), F.get(l, F.size(l) - 2), F.get(r, F.lit(0))
+        loose = F.regexp_replace(form, "9+", "9")
+        gap = F.regexp_replace(_form(one), "9+", "9")
+        texts = [("before", (one,)), ("two before", (two, one)), ("before a gap", (two, gap)), ("behind", (next_,)), ("around", (one, next_)), ("form", (form,)), ("loose form", (loose,)), ("first", (F.substring(value, 1, 1), form))]
+        hashed = [F.when(F.concat(*parts).isNotNull(), F.xxhash64(F.lit(name), *parts)) for name, parts in texts]
+        return F.array_compact(F.array(*hashed))
+
+    words = lambda text: F.filter(F.split(F.lower(text), r"\s+"), lambda w: w.rlike(r"\p{L}"))
+    return let(words(left), lambda l: let(words(right), lambda r: let(_form(value), lambda form: of(l, r, form))))
+
+
+def parts_of_numbers(runs: DataFrame) -> DataFrame:
+    """runs(key, s: a span of numbers) -> (key, start, end, value, left, right) of its stretches of whole numbers with FEWEST to MOST digits together.
+
+    As each number has a digit, a stretch is at most MOST numbers, so a table gives at most so many for each of its numbers.
+    """
+    parts = F.regexp_extract_all("s.value", F.lit("[^0-9]*[0-9]+"), F.lit(0))
+    df = runs.select("key", "s", parts.alias("parts"))
+    df = df.withColumn("at", _before(F.transform("parts", lambda x: F.length(x)))).withColumn("digits", F.transform("parts", lambda x: F.length(F.regexp_replace(x, "[^0-9]", ""))))
+
+    def beginning(part: Column, i: Column) -> Column:
+        before = F.concat_ws("", F.slice("parts", F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2))))
+        w, d = F.slice("parts", i + 1, F.lit(MOST + 2)), F.slice("digits", i + 1, F.lit(MOST))
+        return F.struct(w.alias("w"), d.alias("d"), (F.col("s.start") + F.col("at")[i]).alias("start"), F.when(i < 2, F.concat("s.left", before)).otherwise(before).alias("left"), (F.size("parts") - i).alias("more"))
+
+    df = df.select("key", F.col("s.right").alias("after"), F.explode(F.transform("parts", beginning)).alias("b"))
+    total = lambda n: F.aggregate(F.slice("b.d", F.lit(1), n), F.lit(0), lambda a, x: a + x)
+    fit = F.filter(F.sequence(F.lit(1), F.size("b.d")), lambda n: total(n).between(FEWEST, MOST))
+
+    def stretch(n: Column) -> Column:
+        behind = F.concat_ws("", F.slice("b.w", n + 1, F.lit(2)))
+        right = F.when(F.col("b.more") - n < 2, F.concat(behind, "after")).otherwise(behind)
+        return F.struct(F.concat_ws("", F.slice("b.w", F.lit(1), n)).alias("value"), right.alias("right"))
+
+    df = df.select("key", "b", F.explode(F.transform(fit, stretch)).alias("e"))
+    value = F.regexp_replace("e.value", "^[^+(0-9]+", "")
+    df = df.select("key", value.alias("value"), (F.col("b.start") + F.length("e.value") - F.length(value)).alias("start"), F.col("b.left").alias("left"), F.col("e.right").alias("right"))
+    return df.select("key", "start", (F.col("start") + F.length("value")).alias("end"), "value", "left", "right")
+
+
+def _kinds_of_numbers(value: Column) -> Column:
+    """What a stretch of numbers can be: (kind, whether it fails)."""
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    card = F.when(F.length(digits).between(14, 19) & value.rlike(r"^[0-9\x20-]+$"), F.struct(F.lit(2).alias("kind"), (~_luhn(digits)).alias("fails")))
+    phone = F.when(F.length(digits).between(10, 15), F.struct(F.lit(3).alias("kind"), F.lit(False).alias("fails")))
+    return F.array_compact(F.array(card, phone))
+
+
+def _near(df: DataFrame) -> DataFrame:
+    """A row for each NEAR characters that a span touches."""
+    return df.select("key", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / NEAR), F.floor((F.col("end") - 1) / NEAR))).alias("near"))
+
+
+def discovered(seeds: DataFrame, others: DataFrame) -> DataFrame:
+    """seeds(key, start, kind, end, value, left, right), others(key, start, end, value, left, right, kinds: array of (kind, fails)) -> (key, start, kind, end, value) that confident patterns add.
+
+    Others that overlap a seed count for nothing. Equal rows count once.
+    """
+    touched = _near(others).join(_near(seeds).withColumnsRenamed({"start": "s0", "end": "s1"}), ["key", "near"]).where("start < s1 and s0 < end").select("key", "start", "end").distinct()
+    others = save(others.join(touched, ["key", "start", "end"], "left_anti"), "others")
+    pattern = F.explode(_patterns(F.col("value"), F.col("left"), F.col("right"))).alias("pattern")
+    known = seeds.select("value", "kind", pattern).distinct().select("pattern", F.xxhash64("value").alias("instance"), "kind", F.lit(True).alias("seed"), F.lit(False).alias("fails"))
+    maybe = others.select("value", "kinds", pattern).distinct().select("pattern", F.xxhash64("value").alias("instance"), F.explode("kinds").alias("k"))
+    edges = known.union(maybe.select("pattern", "instance", "k.kind", F.lit(False), "k.fails")).groupBy("pattern", "instance", "kind").agg(F.max("seed").alias("seed"), F.max("fails").alias("fails"))
+    edges = save(edges, "edges")
+    able = edges.groupBy("pattern", "instance").agg(F.max(~F.col("seed") & ~F.col("fails")).alias("open")).groupBy("pattern").agg(F.count("*").alias("total"), F.max("open").alias("open"))
+    edges = save(edges.join(able.where(f"total >= {SUPPORT} and open").select("pattern", "total"), "pattern"), "able")
+    scored = edges.withColumn("score", F.when(F.col("seed"), 1.0).otherwise(0.0))
+    best = None
     for _ in range(ROUNDS):
-        patterns = scored.groupBy("kind", "pattern").agg((F.sum("score") / (F.count("*") + PRIOR)).alias("p"))
-        best = edges.where("not is_base").join(patterns, ["kind", "pattern"]).groupBy("kind", "instance").agg(F.max("p").alias("best"))
-        scored = save(edges.join(best, ["kind", "instance"], "left").withColumn("score", F.when(F.col("is_base"), 1.0).otherwise(F.col("best"))).drop("best"), "scored")
-    good = scored.where(f"not is_base and score >= {CONFIDENT}").select("kind", "instance").distinct()
-    spans = others.withColumn("instance", F.xxhash64("s.value")).join(good, ["kind", "instance"], "left_semi")
-    return spans.groupBy("key").agg(F.collect_set(F.struct(F.col("s.start").alias("start"), "kind", F.col("s.end").alias("end"), F.col("s.value").alias("value"), F.col("s.left").alias("left"))).alias("more"))
+        patterns = scored.groupBy("pattern", "kind").agg(F.sum("score").alias("worth"), F.max("total").alias("total")).where(f"worth >= {SUPPORT}")
+        patterns = patterns.select("pattern", "kind", (F.col("worth") / (F.col("total") + PRIOR)).alias("p"))
+        best = save(edges.where("not seed and not fails").join(patterns, ["pattern", "kind"]).groupBy("instance", "kind").agg(F.max("p").alias("best")), "best")
+        scored = edges.join(best, ["instance", "kind"], "left").withColumn("score", F.when(F.col("seed"), 1.0).when(F.col("fails"), 0.0).otherwise(F.coalesce("best", F.lit(0.0)))).drop("best")
+    good = best.where(f"best >= {CONFIDENT}").select("instance", "kind")
+    found = others.withColumn("instance", F.xxhash64("value")).withColumn("k", F.explode("kinds")).where("not k.fails").withColumn("kind", F.col("k.kind"))
+    return found.join(good, ["instance", "kind"], "left_semi").select("key", "start", "kind", "end", "value").distinct()
+
+
+def _apart(spans: Column) -> Column:
+    """Of one kind's (start, less, end, value) those that overlap none before them."""
+    none = F.expr("cast(array() as array<struct<start:int,less:int,end:int,value:string>>)")
+    start = F.struct(F.lit(0).alias("until"), none.alias("out"))
+    kept = lambda acc, s: F.when(s["start"] >= acc["until"], F.struct(s["end"].alias("until"), F.array_append(acc["out"], s).alias("out"))).otherwise(acc)
+    return F.aggregate(F.sort_array(spans), start, kept, lambda acc: acc["out"])
+
+
+def _read(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, base, candidates) of every row, written once."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    key = F.struct(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.xxhash64("text").alias("h"), F.length("text").alias("n"))
+    return save(rows.select("doc_id", key.alias("key"), base_spans(F.col("text")).alias("base"), candidate_spans(F.col("text")).alias("candidates")), "found")
+
+
+def _graph(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Seeds and other candidates, a row each."""
+    seeds = found.select("key", F.explode("base").alias("s")).select("key", "s.*").distinct()
+    spans = found.select("key", F.explode("candidates").alias("s")).distinct()
+    whole = spans.where("s.kind >= 0").select("key", "s.start", "s.end", "s.value", "s.left", "s.right", F.array(F.struct(F.col("s.kind").alias("kind"), F.lit(False).alias("fails"))).alias("kinds"))
+    parts = parts_of_numbers(spans.where("s.kind < 0")).withColumn("kinds", _kinds_of_numbers(F.col("value"))).where("size(kinds) > 0")
+    return seeds, whole.union(parts)
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> one row per input row: doc_id, n_email, n_ip, n_card, n_phone, base, spans (arrays of start, kind, end, value, left).
+    """docs(doc_id, text) -> one row per input row: doc_id, n_email, n_ip, n_card, n_phone, base, spans (arrays of start, kind, end, value).
 
     Null and empty texts have no spans. Rows that repeat a doc_id are judged each
     by their own text. An empty table gives an empty table. Other columns are
-    ignored. Places are code points, ends exclusive.
+    ignored. Places are code points, ends exclusive. Spans that the method adds overlap no base span.
     """
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"))
-    none = F.expr(f"cast(array() as {_SPANS})")
-    key = F.struct(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.xxhash64("text").alias("h"), F.length("text").alias("n"))
-    found = rows.select("doc_id", key.alias("key"), base_spans(F.col("text")).alias("base"), F.when(F.col("text").rlike(CANDIDATE_HINT), _matches(F.col("text"), CANDIDATE, -1)).otherwise(none).alias("all"))
-    apart = F.filter("all", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    found = save(found.select("doc_id", "key", "base", apart.alias("candidates")), "found")
-    more = discovered(found.where("size(base) + size(candidates) > 0").select("key", "base", "candidates"))
-    out = found.join(more, "key", "left").withColumn("spans", F.sort_array(F.concat("base", F.coalesce("more", none))))
+    found = _read(docs)
+    more = discovered(*_graph(found))
+    more = more.groupBy("key", "kind").agg(F.collect_set(F.struct("start", (F.col("start") - F.col("end")).alias("less"), "end", "value")).alias("of"))
+    more = more.select("key", F.transform(_apart(F.col("of")), lambda s: F.struct(s["start"].alias("start"), F.col("kind"), s["end"].alias("end"), s["value"].alias("value"))).alias("of"))
+    more = more.groupBy("key").agg(F.flatten(F.collect_list("of")).alias("more"))
+    base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value")))
+    out = found.select("doc_id", "key", base.alias("base")).join(more, "key", "left")
+    out = out.withColumn("spans", F.sort_array(F.concat("base", F.coalesce("more", F.expr("cast(array() as array<struct<start:int,kind:int,end:int,value:string>>)")))))
     count = [F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return out.select("doc_id", *count, "base", "spans")
 
 
+def hidden_recall(docs: DataFrame, every: int = 5) -> DataFrame:
+    """(kind, hidden, found): of each `every`-th base value by hash, which the method does not get as a seed, how many it finds."""
+    seeds, others = _graph(_read(docs))
+    hide = F.pmod(F.xxhash64("value", F.lit("hide")), F.lit(every)) == 0
+    hidden = seeds.where(hide).select("key", "start", "end", "value", "left", "right", F.array(F.struct("kind", F.lit(False).alias("fails"))).alias("kinds"))
+    got = discovered(seeds.where(~hide), others.union(hidden)).select("key", "start", "kind", "end").distinct().withColumn("got", F.lit(1))
+    all_ = hidden.select("key", "start", "end", F.col("kinds")[0]["kind"].alias("kind")).distinct()
+    return all_.join(got, ["key", "start", "kind", "end"], "left").groupBy("kind").agg(F.count("*").alias("hidden"), F.count("got").alias("found"))
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = personal_data(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"))
+    return out.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))

@@ -197,10 +197,56 @@ def test_candidates_without_digits(spark):
 
 def test_candidate_hint_is_implied():
     rng = random.Random(20)
-    pattern = lambda p: re.compile(p)
-    found, hint = pattern(op05_pii.CANDIDATE), pattern(op05_pii.CANDIDATE_HINT)
-    texts = ["".join(rng.choices(["a", "F", ":", "::", "[at]", "(at)", "@", "1", ".", " ", "(", "x"], k=rng.randrange(3, 20))) for _ in range(5000)]
-    assert all(hint.search(t) for t in texts if found.search(t)) and sum(bool(found.search(t)) for t in texts) > 100
+    seen = [0, 0, 0]
+    for _ in range(20_000):
+        text = "".join(rng.choices(["a", "F", "1", "23", ":", "::", "[at]", "(at)", "@", ".", " ", "-", "(", "+"], k=12))
+        for i, (pattern, hint) in enumerate(op05_pii.CANDIDATES):
+            m = re.search(pattern, text)
+            seen[i] += bool(m)
+            assert not m or re.search(hint, text)
+            assert i < 2 or not m or sum(map(str.isdigit, m[0])) < 10 or re.search(op05_pii.DIGITS, text)
+    assert min(seen) > 200
+
+
+def test_places_add_up(spark):
+    rows = [(i, [(7 * i + j) % 11 for j in range(n)]) for i, n in enumerate([0, 1, 5, 255, 256, 257, 3000])]
+    got = spark.createDataFrame(rows, "i int, a array<int>").select("i", op05_pii._before(F.col("a")).alias("b")).collect()
+    assert {r.i: r.b for r in got} == {i: [sum(a[:j]) for j in range(len(a))] for i, a in rows}
+
+
+def luhn(body):
+    return next(body + c for c in "0123456789" if sum(x - 9 * (x > 9) for x in (int(c) * (1 + j % 2) for j, c in enumerate(reversed(body + c)))) % 10 == 0)
+
+
+def test_parts_of_failed_stretches_are_found(spark):
+    rng = random.Random(24)
+    number = lambda n: "".join(rng.choices("0123456789", k=n))
+    card, phone, ip = lambda: luhn("4" + number(14)), lambda: f"+1 ({number(3)}) 555-{number(4)}", lambda: ".".join(str(rng.randrange(1, 255)) for _ in range(4))
+    words = lambda: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(6))
+    rows = [(i, f"{words()} {make_one()} {words()}") for i in range(40) for make_one in (card, phone, ip)]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    c, q = [card() for _ in range(4)], phone()
+    bad = c[3][:-1] + str((int(c[3][-1]) + 1) % 10)
+    rows += [(1000, f"é {q} {c[0]} end"), (1001, f"x {c[1]} {c[1]} y"), (1002, f"{c[2]} 27.65.93.188 z"), (1003, f"see {bad} here"), (1004, " ".join(number(4) for _ in range(3000))), (1005, "9" * 20_000), (1006, "( " * 20_000 + "1 " * 2000 + "5x")]
+    got = {r.doc_id: [(op05_pii.KINDS[s.kind], s.value) for s in r.spans if s not in r.base] for r in op05_pii.personal_data(spark.createDataFrame(make(rows), SCHEMA)).collect()}
+    assert got[1000] == [("phone", q), ("card", c[0])] and got[1001] == [("card", c[1])] * 2 and got[1002] == [("card", c[2])]
+    assert not any(v for i, v in got.items() if i not in (1000, 1001, 1002))
+
+
+def test_candidates_of_any_length(spark):
+    rows = [(i, f"please write to john{i}@example.com now") for i in range(30)] + [(100, "please write to " + "j" * 3000 + "[at]example.com now")]
+    got = {r.doc_id: [s.value for s in r.spans] for r in op05_pii.personal_data(spark.createDataFrame(make(rows), SCHEMA)).collect()}
+    assert got[100] == ["j" * 3000 + "[at]example.com"]
+
+
+def test_hidden_seeds_are_found_again(spark):
+    rng = random.Random(25)
+    number = lambda n: "".join(rng.choices("123456789", k=n))
+    kinds = [lambda: f"u{number(2)}@mail{number(1)}.example.com", lambda: ".".join(number(2) for _ in range(4)), lambda: luhn("4" + number(14)), lambda: f"+1 ({number(3)}) 555-{number(4)}"]
+    words = lambda: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(5))
+    rows = [(4 * i + k, f"{words()} {f()} {words()}") for i in range(60) for k, f in enumerate(kinds)]
+    got = {r.kind: (r.hidden, r.found) for r in op05_pii.hidden_recall(spark.createDataFrame(make(rows), SCHEMA)).collect()}
+    assert len(got) == 4 and all(found >= 0.9 * hidden > 0 for hidden, found in got.values())
 
 
 def test_tokens(spark, docs, nothing):
@@ -343,6 +389,31 @@ def test_host_rates_shrink(spark):
     assert got["tiny"].rate < 1 and got["bad"].rate < 60 / 65
 
 
+def test_bad_hosts_fall_at_realistic_rates(spark):
+    rng = random.Random(26)
+    rates = {f"h{h}": rng.uniform(0.03, 0.15) for h in range(30)} | {"bad": 0.4, "worse": 0.55}
+    rows = [(h, rng.random() < rate) for h, rate in rates.items() for _ in range(400)] + [(f"small{i}", rng.random() < 0.09) for i in range(300)]
+    for hot in ("h0", "bad"):  # a third of all rows
+        more = [(hot, rng.random() < rates[hot]) for _ in range(6000)]
+        got = {r.host: r.host_ok for r in op09_quality.host_verdicts(spark.createDataFrame(rows + more, "host string, failed boolean")).collect()}
+        assert {h for h, ok in got.items() if not ok} == {"bad", "worse"}
+    alike = [(f"h{h}", i < 40) for h in range(20) for i in range(100)]
+    assert all(r.host_ok for r in op09_quality.host_verdicts(spark.createDataFrame(alike, "host string, failed boolean")).collect())
+
+
+def test_host_verdicts_in_sql(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(27)
+    rows = [(100 * h + i, "q " * 50 if rng.random() < (0.45 if h == 7 else 0.07) else text_of(rng, 40), "en", f"h{h}") for h in range(15) for i in range(100)]
+    spark.createDataFrame(make(rows), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.base_failed, r.kept) for r in op09_quality.op9_quality_rules(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.sql(f"SELECT doc_id, base_failed, kept FROM ({op09_quality.ORACLE})").fetchall())
+    assert {i // 100 for i, failed, kept in got if not failed and not kept} == {7} and not any(kept for i, _, kept in got if i // 100 == 7)
+
+
 def ring_by_hand(keys, ring, quota):
     """keys: (cell, rank) in ring order, one at a time."""
     at = [c for c, _ in ring]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,9 +16,11 @@ SPACES = "\\x20\\x09-\\x0D"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one where the session names none (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a temporary one if all runs in one process (tests), else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="helixframe-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -27,7 +30,36 @@ def save(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back, so a lost executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _SAVED.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+#: Folders that `save` has written and nothing has deleted.
+_SAVED: list[str] = []
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete saved tables that nothing reads any more; others are left alone."""
+    for t in tables:
+        if getattr(t, "saved_at", None) in _SAVED:
+            _delete(t.sparkSession, [t.saved_at])
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for name in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _SAVED.remove(name)
+
+
+def alone(spark: SparkSession, make, name: str) -> DataFrame:
+    """save(make()), and then delete what make has saved on the way."""
+    before = set(_SAVED)
+    out = save(make(), name)
+    _delete(spark, [p for p in _SAVED if p not in before and p != out.saved_at])
+    return out
 
 
 def ids(column: str = "doc_id") -> Column:

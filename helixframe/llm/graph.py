@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import save
+from helixframe.llm.common import drop, save
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,7 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
         small = large.join(least, large.a == least.k)
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("k", "m")).where("a <> b").distinct()
-        edges = save(small, "small")
+        before, edges = edges, save(small, "small")
+        drop(before, large)
         now = tuple(edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.bit_xor(F.xxhash64("a", "b"))).first())
         if now == seen:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())

@@ -2,10 +2,12 @@
 
 The labelled URLs are those that a rule decides. Trees (logistic loss, depth
 DEPTH, histogram splits) are fitted to at most SAMPLE of them, the first by a
-hash of their ids. The suffix statistics (how many labelled URLs a host suffix
-has, and its blocked share, shrunk to the overall share) cover all labelled URLs and
-reach a URL by a join on its suffix. A URL is blocked if its probability is at
-least `threshold`.
+hash of their ids. The suffix statistics (how many labelled URLs the last one, two
+and three labels of a host have, and their blocked share, shrunk to the overall share)
+cover all labelled URLs. They are out of fold: hosts are dealt into FOLDS by a
+hash, and a host's statistics leave out all hosts of its fold, in the fit and in
+the result alike, so no URL's label reaches its own features. A URL is blocked if its
+probability is at least `threshold`. `held_out_accuracy` keeps whole hosts apart.
 """
 
 from __future__ import annotations
@@ -15,11 +17,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import table
+from helixframe.llm.common import save, table
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 SAMPLE, TREES, DEPTH, RATE, BINS, LEAST = 20_000, 40, 4, 0.2, 32, 10
-FEATURES = ("url_length", "host_length", "path_length", "labels", "depth", "digit_ratio", "path_digits", "hyphens", "host_entropy", "path_entropy", "parameters", "query_length", "fragment", "secure", "suffix_count", "suffix_blocked")
+FOLDS, LABELS, PRIOR = 5, 3, 20
+FEATURES = ("url_length", "host_length", "path_length", "labels", "depth", "digit_ratio", "path_digits", "hyphens", "host_entropy", "path_entropy", "parameters", "query_length", "fragment", "secure", *(f"{name}_{n}" for n in range(1, LABELS + 1) for name in ("suffix_count", "suffix_blocked")))
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -56,7 +59,7 @@ def _entropy(text: str) -> float:
 
 
 def lexical(f: pd.DataFrame) -> np.ndarray:
-    """FEATURES of url, host, path, suffix_count and suffix_blocked."""
+    """FEATURES of url, host, path and the counts and blocked shares of the host's suffixes."""
     url = f["url"].fillna("")
     query = url.str.partition("?")[2].str.partition("#")[0]
     digits = lambda s: s.str.count("[0-9]")
@@ -65,7 +68,7 @@ def lexical(f: pd.DataFrame) -> np.ndarray:
             url.str.len(), f["host"].str.len(), f["path"].str.len(), f["host"].str.count(r"\.") + 1, f["path"].str.count("/[^/]"),
             digits(url) / url.str.len().clip(lower=1), digits(f["path"]), f["host"].str.count("-"), f["host"].map(_entropy), f["path"].map(_entropy),
             query.str.count("=") , query.str.len(), url.str.contains("#", regex=False).astype(int), url.str.startswith("https").astype(int),
-            np.log1p(f["suffix_count"].fillna(0)), f["suffix_blocked"],
+            *(x for n in range(1, LABELS + 1) for x in (np.log1p(f[f"suffix_count_{n}"]), f[f"suffix_blocked_{n}"])),
         ]
     ).astype(float)
 
@@ -127,37 +130,69 @@ def fit(x: np.ndarray, y: np.ndarray) -> Trees:
     return Trees(base, trees)
 
 
-def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """pages(page_id, url) -> one row per input row: page_id, host, path, rule (null where none fits), verdict, score (probability of block).
-
-    A null url, or one without `://`, has an empty host and path, fits no rule
-    and is judged by the trees on these. Repeated rows are judged each. Without
-    labelled URLs, or with one label only, the trees are the base rate alone: 0.001 and so
-    allow without any. An empty table gives an empty table. Other columns are ignored.
-    """
-    host, path = host_path(F.col("url"))
-    split = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
+def ruled_urls(pages: DataFrame, rules=RULES) -> DataFrame:
+    """pages(page_id, url) -> one row per input row: page_id, url, host, path, rule, label (the rule's verdict; both null where none fits)."""
 
     def ruled(frames):
         for f in frames:
             f["rule"], f["label"] = matching_rule(f["host"].tolist(), f["path"].tolist(), rules)
             yield f
 
-    schema = "page_id long, url string, host string, path string"
-    split = split.select(F.col("page_id").cast("long").alias("page_id"), "url", "host", "path")
-    split = split.mapInPandas(ruled, f"{schema}, rule string, label string").withColumn("suffix", F.element_at(F.split("host", r"\."), -1))
-    labelled = split.where("label is not null")
-    by_suffix = labelled.groupBy("suffix").agg(F.count("*").alias("n"), F.count_if(F.col("label") == "block").alias("blocked"))
-    overall = by_suffix.agg(((F.sum("blocked") + 1) / (F.sum("n") + 2)).alias("share")).first().share
-    overall = 0.5 if overall is None else overall
-    by_suffix = by_suffix.select(F.col("suffix").alias("of"), F.col("n").alias("suffix_count"), ((F.col("blocked") + 20 * overall) / (F.col("n") + 20)).alias("suffix_blocked"))
+    host, path = host_path(F.col("url"))
+    split = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), path.alias("path"))
+    return split.mapInPandas(ruled, "page_id long, url string, host string, path string, rule string, label string")
+
+
+def _suffix(n: int) -> Column:
+    """The last n labels of a host; null if it has fewer."""
+    parts = F.split("host", r"\.")
+    return F.when(F.size(parts) >= n, F.concat_ws(".", F.slice(parts, F.size(parts) - (n - 1), n)))
+
+
+def host_statistics(ruled: DataFrame) -> DataFrame:
+    """(host, suffix_count_1, suffix_blocked_1, ...) of every host, from the labelled URLs of hosts of other folds.
+
+    Per-host and per-suffix sums are combined map-side, so a suffix with a third
+    of all rows sends a row a task.
+    """
+    fold = F.pmod(F.crc32("host"), F.lit(FOLDS))
+    labelled = F.col("label").isNotNull()
+    hosts = ruled.groupBy("host").agg(F.count_if(labelled).alias("n"), F.count_if(F.col("label") == "block").alias("blocked"))
+    hosts = save(hosts, "hosts")
+    overall = hosts.agg(((F.sum("blocked") + 1) / (F.sum("n") + 2)).alias("share")).first().share
+    overall = F.lit(0.5 if overall is None else float(overall))
+    out = hosts.select("host", fold.cast("int").alias("fold"))
+    for n in range(1, LABELS + 1):
+        each = hosts.where("n > 0").select(_suffix(n).alias("of"), fold.cast("int").alias("f"), "n", "blocked").where("of is not null")
+        sums = [F.sum(F.when(F.col("f") != k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for k in range(FOLDS) for c in ("n", "blocked")]
+        each = each.groupBy("of").agg(*sums).select("of", *[F.array(*[f"{c}{k}" for k in range(FOLDS)]).alias(c) for c in ("n", "blocked")])
+        out = out.withColumn("suffix", _suffix(n)).join(each, F.col("suffix") == F.col("of"), "left")
+        count = F.coalesce(F.col("n")[F.col("fold")], F.lit(0))
+        blocked = F.coalesce(F.col("blocked")[F.col("fold")], F.lit(0))
+        out = out.withColumn(f"suffix_count_{n}", count).withColumn(f"suffix_blocked_{n}", (blocked + PRIOR * overall) / (count + PRIOR)).drop("of", "suffix", "n", "blocked")
+    return out.withColumnRenamed("host", "of_host").drop("fold")
+
+
+def _fitted(rows: pd.DataFrame) -> Trees:
+    rows = rows.sort_values(["page_id", "url"]).reset_index(drop=True)
+    return fit(lexical(rows), (rows["label"] == "block").to_numpy(float)) if len(rows) else fit(np.zeros((0, len(FEATURES))), np.zeros(0))
+
 
-    def with_statistics(df: DataFrame) -> DataFrame:
-        return df.join(by_suffix, F.col("suffix") == F.col("of"), "left").drop("of").withColumn("suffix_blocked", F.coalesce("suffix_blocked", F.lit(overall)))
+def _sampled(df: DataFrame, sample: int) -> pd.DataFrame:
+    return df.orderBy(F.xxhash64("page_id", "url"), "page_id", "url").limit(sample).toPandas()
 
-    chosen = labelled.orderBy(F.xxhash64("page_id", "url"), "page_id", "url").limit(sample)
-    rows = with_statistics(chosen).toPandas().sort_values(["page_id", "url"]).reset_index(drop=True)
-    model = fit(lexical(rows), (rows["label"] == "block").to_numpy(float)) if len(rows) else fit(np.zeros((0, len(FEATURES))), np.zeros(0))
+
+def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+    """pages(page_id, url) -> one row per input row: page_id, host, path, rule (null where none fits), verdict, score (probability of block).
+
+    A null url, or one without `://`, has an empty host and path, fits no rule
+    and is judged by the trees on these. Repeated rows are judged each. Without
+    labelled URLs, or with one label only, the trees are the base rate alone: 0.001 and so
+    allow without any. An empty table gives an empty table. Other columns are ignored.
+    """
+    split = save(ruled_urls(pages, rules), "urls")
+    whole = split.join(host_statistics(split), F.col("host") == F.col("of_host")).drop("of_host")
+    model = _fitted(_sampled(whole.where("label is not null"), sample))
 
     def scored(frames):
         for f in frames:
@@ -165,8 +200,41 @@ def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 0.5, sample: in
             f["verdict"] = f["label"].where(f["label"].notna(), np.where(f["score"] >= threshold, "block", "allow"))
             yield f[["page_id", "host", "path", "rule", "verdict", "score"]]
 
-    return with_statistics(split).mapInPandas(scored, "page_id long, host string, path string, rule string, verdict string, score double")
+    return whole.mapInPandas(scored, "page_id long, host string, path string, rule string, verdict string, score double")
+
+
+def held_out_accuracy(pages: DataFrame, rules=RULES, threshold: float = 0.5, sample: int = SAMPLE) -> dict[str, float]:
+    """Trees fitted to the labelled URLs of other hosts, held against those of every fifth host by hash: rows, accuracy, and that of the more frequent label.
+
+    The suffix statistics of either side come from the hosts of the fit alone.
+    """
+    split = save(ruled_urls(pages, rules), "urls")
+    apart = F.pmod(F.xxhash64("host", F.lit("apart")), F.lit(5)) == 0
+    blind = host_statistics(split.withColumn("label", F.when(~apart, F.col("label"))))
+    whole = split.where("label is not null").join(blind, F.col("host") == F.col("of_host"))
+    model = _fitted(_sampled(whole.where(~apart), sample))
+    test = _sampled(whole.where(apart), sample)
+    if not len(test):
+        return {"rows": 0, "accuracy": 0.0, "frequent": 0.0}
+    block = (test["label"] == "block").to_numpy()
+    return {"rows": len(test), "accuracy": float(((model.scores(lexical(test)) >= threshold) == block).mean()), "frequent": float(max(block.mean(), 1 - block.mean()))}
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
+
+
+def base_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op3 decides by its rules alone, for the check by SQL."""
+    return ruled_urls(table(spark, sf_dir, "pages")).drop("url")
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BASE_ORACLE = f"""
+WITH u AS (SELECT row_number() OVER () AS k, page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+s AS (SELECT k, page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(label, rule) AS (VALUES {', '.join(f"('{v}', '{r}')" for v, r in RULES)}),
+p AS (SELECT label, rule, split_part(rule, '/', 1) AS of_host, substr(rule, strpos(rule, '/')) AS of_path FROM r),
+f AS (SELECT k, rule, label FROM s JOIN p ON (host = of_host OR ends_with(host, '.' || of_host)) AND starts_with(path, of_path) QUALIFY row_number() OVER (PARTITION BY k ORDER BY length(rule) DESC, length(of_host) DESC) = 1)
+SELECT page_id, host, path, rule, label FROM s LEFT JOIN f USING (k)
+"""

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import let, save, table
+from helixframe.llm.common import drop, let, save, table
 
 KINDS = ("email", "ip", "card", "phone")
 RULES = (
@@ -223,8 +223,9 @@ def discovered(seeds: DataFrame, others: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         patterns = scored.groupBy("pattern", "kind").agg(F.sum("score").alias("worth"), F.max("total").alias("total")).where(f"worth >= {SUPPORT}")
         patterns = patterns.select("pattern", "kind", (F.col("worth") / (F.col("total") + PRIOR)).alias("p"))
-        best = save(edges.where("not seed and not fails").join(patterns, ["pattern", "kind"]).groupBy("instance", "kind").agg(F.max("p").alias("best")), "best")
+        before, best = best, save(edges.where("not seed and not fails").join(patterns, ["pattern", "kind"]).groupBy("instance", "kind").agg(F.max("p").alias("best")), "best")
         scored = edges.join(best, ["instance", "kind"], "left").withColumn("score", F.when(F.col("seed"), 1.0).when(F.col("fails"), 0.0).otherwise(F.coalesce("best", F.lit(0.0)))).drop("best")
+        drop(before)
     good = best.where(f"best >= {CONFIDENT}").select("instance", "kind")
     found = others.withColumn("instance", F.xxhash64("value")).withColumn("k", F.explode("kinds")).where("not k.fails").withColumn("kind", F.col("k.kind"))
     return found.join(good, ["instance", "kind"], "left_semi").select("key", "start", "kind", "end", "value").distinct()
@@ -286,3 +287,26 @@ def hidden_recall(docs: DataFrame, every: int = 5) -> DataFrame:
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = personal_data(table(spark, sf_dir, "documents"))
     return out.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
+
+
+def base_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base spans of op5 alone, for the check by SQL."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", base_spans(F.coalesce("text", F.lit(""))).alias("base"))
+    return rows.select("doc_id", *[F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)], F.sha2(_written(F.col("base")), 256).alias("base_sha256"))
+
+
+#: The rules as they are published.
+_PLAIN = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", r"[0-9](?:[\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
+_EACH = " UNION ALL ".join(f"SELECT k, {i} AS kind, regexp_extract_all(text, '{p}') AS found, regexp_split_to_array(text, '{p}') AS gaps FROM d" for i, p in enumerate(_PLAIN))
+_LUHN = "list_sum(list_transform(list_reverse(string_split(digits, '')), lambda c, i: CASE WHEN i % 2 = 1 THEN c::INT WHEN c::INT > 4 THEN 2 * c::INT - 9 ELSE 2 * c::INT END)) % 10 = 0"
+_PARTS = "list_filter(string_split(value, '.'), lambda p: length(ltrim(p, '0')) > 3 OR (ltrim(p, '0') <> '' AND ltrim(p, '0')[:3]::INT > 255))"
+BASE_ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({_EACH}),
+u AS (SELECT k, kind, unnest(range(1, len(found) + 1)) AS i, found, gaps FROM m WHERE len(found) > 0),
+v AS (SELECT k, kind, i, found[i] AS value, length(gaps[i]) AS gap FROM u),
+s AS (SELECT k, kind, value, regexp_replace(value, '[^0-9]', '', 'g') AS digits, (sum(gap + length(value)) OVER (PARTITION BY k, kind ORDER BY i) - length(value))::BIGINT AS start FROM v),
+ok AS (SELECT * FROM s WHERE CASE kind WHEN 0 THEN true WHEN 1 THEN len({_PARTS}) = 0 WHEN 2 THEN length(digits) BETWEEN 14 AND 19 AND {_LUHN} ELSE length(digits) BETWEEN 10 AND 15 END),
+a AS (SELECT k, {', '.join(f"count(*) FILTER (kind = {i}) AS n_{name}" for i, name in enumerate(KINDS))}, string_agg({list(KINDS)}[kind + 1] || ':' || start || ':' || (start + length(value)), ',' ORDER BY start, kind) AS spans FROM ok GROUP BY k)
+SELECT doc_id, {', '.join(f"coalesce(n_{name}, 0) AS n_{name}" for name in KINDS)}, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN a USING (k)
+"""

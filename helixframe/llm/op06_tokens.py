@@ -13,6 +13,7 @@ widened, twofold each time, in the end to the whole text.
 
 from __future__ import annotations
 
+import bisect
 import os
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.common import table
 
-CHUNK, OVERLAP = 1 << 16, 256
+CHUNK, OVERLAP = 1 << 14, 128
 _SAME = 4
 
 
@@ -59,10 +60,12 @@ class Counter:
         parts = [p for p, _ in self.model.pre_tokenizer.pre_tokenize_str(text)]
         return parts == ["ab", "cd", "ef"]
 
-    def spans(self, text: str) -> list[tuple[int, int, int]]:
-        """(id, first character, end) of each token."""
+    def spans(self, text: str, low: int, since: int = 0) -> tuple[int, list[tuple[int, int, int]]]:
+        """How many tokens a chunk at low has before place since, and (id, first character, end) of the others."""
         e = self.model.encode(text, add_special_tokens=False)
-        return [(i, a, b) for i, (a, b) in zip(e.ids, e.offsets, strict=True)]
+        places = e.offsets
+        n = bisect.bisect_left(places, since - low, key=lambda x: x[0])
+        return n, [(i, a + low, b + low) for i, (a, b) in zip(e.ids[n:], places[n:], strict=True)]
 
     def whole(self, texts: list[str]) -> list[int]:
         if self.pieces:
@@ -82,14 +85,14 @@ class Counter:
             while cut is None and high < len(text):
                 start = max(low, high - width)
                 end = min(len(text), high + width)
-                left = [(i, a + low, b + low) for i, a, b in self.spans(text[low:high])]
-                right = [(i, a + start, b + start) for i, a, b in self.spans(text[start:end])]
+                before, left = self.spans(text[low:high], low, start)
+                right = self.spans(text[start:end], start)[1]
                 cut = self._common(text, left, right, start, high)
                 if cut is None:
                     width, high = 2 * width, min(len(text), high + width)
             if cut is None:
                 return total + self.whole([text[low:]])[0]
-            total += sum(1 for _, a, _ in left if a < cut)
+            total += before + sum(1 for _, a, _ in left if a < cut)
             low = cut
 
     def _common(self, text: str, left: list, right: list, start: int, high: int) -> int | None:
@@ -107,6 +110,16 @@ class Counter:
         return None
 
 
+_MADE: dict[str, Counter] = {}
+
+
+def counter(file: str) -> Counter:
+    """A tokenizer, loaded once by each Python process."""
+    if file not in _MADE:
+        _MADE[file] = Counter(file)
+    return _MADE[file]
+
+
 def token_counts(docs: DataFrame, file: str, limit: int = 2048, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """docs(doc_id, text) -> one row per input row: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
@@ -116,21 +129,20 @@ def token_counts(docs: DataFrame, file: str, limit: int = 2048, chunk: int = CHU
     tokens. Repeated rows are counted each; doc_id is passed through, null or
     not. An empty table gives an empty table. Other columns are ignored.
     """
-    made: dict[str, Counter] = {}
 
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = made.get(file) or made.setdefault(file, Counter(file))
+        made = counter(file)
         for texts in batches:
             texts = ["" if t is None else t for t in texts]
             out = [0] * len(texts)
             short = [i for i, t in enumerate(texts) if len(t) <= chunk]
             for low in range(0, len(short), 64):
                 part = short[low : low + 64]
-                for i, n in zip(part, counter.whole([texts[i] for i in part]), strict=True):
+                for i, n in zip(part, made.whole([texts[i] for i in part]), strict=True):
                     out[i] = n
             for i, t in enumerate(texts):
                 if len(t) > chunk:
-                    out[i] = counter.spliced(t, chunk, overlap)
+                    out[i] = made.spliced(t, chunk, overlap)
             yield pd.Series(out, dtype="int64")
 
     count.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}

@@ -7,9 +7,10 @@ regularised-leader (proximal, per coordinate) with an elastic net, which leaves
 most of them zero; the logits are then divided by a temperature fitted on rows
 kept apart.
 
-The fit takes PER_LANGUAGE documents of each language, the first by a hash of
-their ids, found without reading texts and fetched by a broadcast of at most
-PER_LANGUAGE times MAX_LANGUAGES ids. As the values are linear in the words, a
+The fit takes PER_LANGUAGE documents of each of the MAX_LANGUAGES most frequent languages, and at
+most SAMPLE in all, by a hash of their ids: those below a bound that about twice
+as many of a language reach, of them the first. They are found without reading
+texts, and their ids are broadcast. Document frequencies are those of this sample. As the values are linear in the words, a
 text's logits are the mean of its words' sums; a task keeps those of up to
 CACHE words and works each new word out once.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from helixframe.llm.common import table
 
 BUCKETS, LONGEST = 1 << 16, 4
-PER_LANGUAGE, MAX_LANGUAGES = 400, 500
+PER_LANGUAGE, MAX_LANGUAGES, SAMPLE = 400, 500, 20_000
 EPOCHS, ALPHA, BETA, L1, L2 = 5, 0.2, 1.0, 0.02, 1e-4
 CACHE = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -68,22 +69,31 @@ def letters(text: str | None) -> list[str]:
 
 
 class Model:
-    """weights: a row for each bucket, with the document frequency worked in; bias and temperature."""
+    """weights: a row for each bucket, with the document frequency worked in; bias and temperature; seen: buckets that came in training.
 
-    def __init__(self, languages: list[str], weights: np.ndarray, bias: np.ndarray, temperature: float):
-        self.languages, self.weights, self.bias, self.temperature = languages, weights, bias, temperature
+    As n-grams share buckets, one that never came counts as seen by chance; known() takes that off.
+    """
+
+    def __init__(self, languages: list[str], weights: np.ndarray, bias: np.ndarray, temperature: float, seen: np.ndarray):
+        self.languages, self.weights, self.bias, self.temperature, self.seen = languages, weights, bias, temperature, seen
 
     def sums(self, words: list[str]) -> np.ndarray:
-        """For each word the sum of its n-grams' weights, and their number."""
-        out = np.zeros((len(words), len(self.languages) + 1))
+        """For each word the sum of its n-grams' weights, how many of them came in training, and their number."""
+        out = np.zeros((len(words), len(self.languages) + 2))
         index, owner = grams(words)
         for k in range(len(self.languages)):
             out[:, k] = np.bincount(owner, self.weights[index, k], len(words))
+        out[:, -2] = np.bincount(owner, self.seen[index], len(words))
         out[:, -1] = np.bincount(owner, minlength=len(words))
         return out
 
+    def known(self, sums: np.ndarray) -> np.ndarray:
+        """The share of n-grams that came in training, beyond the share of buckets that did."""
+        chance = self.seen.mean()
+        return np.clip((sums[:, -2] / np.maximum(sums[:, -1], 1) - chance) / max(1 - chance, 1e-9), 0, 1)
+
     def probabilities(self, sums: np.ndarray) -> np.ndarray:
-        z = (sums[:, :-1] / np.maximum(sums[:, -1:], 1) + self.bias) / self.temperature
+        z = (sums[:, :-2] / np.maximum(sums[:, -1:], 1) + self.bias) / self.temperature
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
@@ -133,7 +143,7 @@ def fit(rows: pd.DataFrame, seed: int = 1) -> Model:
             return float(np.mean(top + np.log(np.exp(a - top[:, None]).sum(axis=1)) - (target * a).sum(axis=1)))
 
         temperature = min(np.exp(np.linspace(-4, 2, 121)), key=loss)
-    return Model(languages, 100 * w * idf[:, None], b, float(temperature))
+    return Model(languages, 100 * w * idf[:, None], b, float(temperature), seen > 0)
 
 
 def _features(frames):
@@ -149,26 +159,33 @@ def _features(frames):
 def train(docs: DataFrame, learnable, per_language: int = PER_LANGUAGE) -> Model | None:
     """Fit on docs(doc_id, text, lang) where learnable (a condition); None if no such row has letters and a language."""
     known = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    if not sizes:
+        return None
+    most = max(1, min(per_language, SAMPLE // len(sizes)))
+    bounds = [(r.lang, min(2**63 - 1, int((2 * most + 100) / r.n * 2**64) - 2**63)) for r in sizes]  # hashes are even over all longs
+    bounds = F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, bound long"))  # MAX_LANGUAGES rows
+    low = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).join(bounds, "lang").where("h <= bound").select("lang", "doc_id", "h").distinct()
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
-    chosen = chosen.select("doc_id", (F.pmod("h", F.lit(5)) == 0).alias("apart")).distinct().limit(per_language * MAX_LANGUAGES)
-    rows = known.join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", "text", "apart")
+    chosen = low.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    chosen = chosen.select("doc_id", (F.pmod("h", F.lit(5)) == 0).alias("apart")).distinct()
+    rows = known.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "lang", "apart").agg(F.min("text").alias("text"))  # repeated rows come once
     rows = rows.mapInPandas(_features, "doc_id long, lang string, apart boolean, index array<int>, n array<int>").toPandas()
     rows = rows[rows["n"].map(len) > 0].sort_values(["doc_id", "lang"], kind="stable").reset_index(drop=True)  # alike at any number of partitions
     return fit(rows) if len(rows) else None
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score added, for every whole text; `und` with score 0 where it is null or has no letter."""
+    """docs with lang_pred, score and known (the share of the text's n-grams that came in training) added, for every whole text; `und` with 0 and 0 where it is null or has no letter."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         model, cache, sums = shared.value, {}, None
         for texts in batches:
             if not model:
-                yield pd.DataFrame({"lang": ["und"] * len(texts), "score": [0.0] * len(texts)})
+                yield pd.DataFrame({"lang": ["und"] * len(texts), "score": [0.0] * len(texts), "known": [0.0] * len(texts)})
                 continue
-            total = np.zeros((len(texts), len(model.languages) + 1))
+            total = np.zeros((len(texts), len(model.languages) + 2))
             for r, text in enumerate(texts):  # the words of one text at a time are in memory
                 words = letters(text)
                 fresh = [w for w in dict.fromkeys(words) if w not in cache]
@@ -186,11 +203,11 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
             p = model.probabilities(total)
             some = total[:, -1] > 0
             names = np.array(model.languages, object)[p.argmax(axis=1)]
-            yield pd.DataFrame({"lang": np.where(some, names, "und"), "score": np.where(some, p.max(axis=1), 0.0)})
+            yield pd.DataFrame({"lang": np.where(some, names, "und"), "score": np.where(some, p.max(axis=1), 0.0), "known": np.where(some, model.known(total), 0.0)})
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    judge = F.pandas_udf(run, "lang string, score double")
-    return docs.withColumn("__judged", judge(text)).select(*docs.columns, F.col("__judged.lang").alias("lang_pred"), F.col("__judged.score").alias("score"))
+    judge = F.pandas_udf(run, "lang string, score double, known double")
+    return docs.withColumn("__judged", judge(text)).select(*docs.columns, F.col("__judged.lang").alias("lang_pred"), F.col("__judged.score").alias("score"), F.col("__judged.known").alias("known"))
 
 
 def held_out():
@@ -198,7 +215,7 @@ def held_out():
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, lang) -> one row per input row: doc_id, held_out, lang_pred, score (calibrated probability of lang_pred).
+    """docs(doc_id, text, lang) -> one row per input row: doc_id, held_out, lang_pred, score (calibrated probability of lang_pred), known (share of n-grams met in training).
 
     Learns from rows that are not held out and have a doc_id, a text and a
     language; where there are none, every text is `und`. A null or empty text,

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from helixframe.llm import op01_minhash, op04_substring, op07_mixing, op09_quality
+from helixframe.llm import op01_minhash, op03_urls, op04_substring, op05_pii, op07_mixing, op09_quality, op10_sharding
 from helixframe.llm.op01_minhash import op1_minhash_near_dedup
 from helixframe.llm.op02_decontam import op2_decontamination
-from helixframe.llm.op03_urls import op3_url_filter
+from helixframe.llm.op03_urls import base_url_rules, op3_url_filter
 from helixframe.llm.op04_substring import op4_substring_dedup
-from helixframe.llm.op05_pii import op5_personal_data
+from helixframe.llm.op05_pii import base_personal_data, op5_personal_data
 from helixframe.llm.op06_tokens import op6_token_counts
 from helixframe.llm.op07_mixing import op7_source_mixing
 from helixframe.llm.op08_langid import op8_language_id
@@ -27,6 +27,8 @@ QUERIES = {
         op8_language_id,
         op9_quality_rules,
         op10_ring_sharding,
+        base_url_rules,
+        base_personal_data,
     )
 }
 ORACLE_SQL: dict[str, str] = {
@@ -34,4 +36,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_substring_dedup": op04_substring.ORACLE,
     "op7_source_mixing": op07_mixing.ORACLE,
     "op9_quality_rules": op09_quality.ORACLE,
+    "op10_ring_sharding": op10_sharding.ORACLE,
+    "base_url_rules": op03_urls.BASE_ORACLE,
+    "base_personal_data": op05_pii.BASE_ORACLE,
 }

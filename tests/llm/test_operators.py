@@ -347,6 +347,12 @@ def test_language(spark, nothing):
     assert all(0 <= r.score <= 1 for r in got)
     assert {r.lang_pred for r in got if r.doc_id in (1000, 1001, 1002)} == {"und"}
     assert op08_langid.identify(nothing).count() == 0
+    tied = spark.createDataFrame(make([(i, "same words here", ("aa", "bb")[i % 2], "s") for i in range(40)]), SCHEMA)  # nothing tells the languages apart
+    assert len({(r.lang_pred, r.score) for r in op08_langid.identify(tied).collect()}) == 1
+    hot = op08_langid.identify(spark.createDataFrame(make(rows + [(5, rows[5][1], "aa", "s")] * 3000), SCHEMA)).where("doc_id <> 5 and held_out").collect()
+    assert sum(r.lang_pred == truth.get(r.doc_id) for r in hot) >= 0.9 * sum(r.doc_id in truth for r in hot)
+    few = op08_langid.train(df, ~op08_langid.held_out(), 20)
+    assert few.languages == ["aa", "bb", "cc"]
     blind = op08_langid.identify(df.withColumn("lang", F.lit(None).cast("string")))
     assert {r.lang_pred for r in blind.collect()} == {"und"}
 
@@ -463,6 +469,21 @@ def test_sharding(docs, nothing):
     assert op10_sharding.ring_shards(nothing).count() == 0
 
 
+def test_an_added_shard_moves_few_rows(spark):
+    rng = random.Random(30)
+    df = spark.createDataFrame(make([(i, text_of(rng, 5)) for i in range(4000)]), SCHEMA)
+    old, new = ({r.doc_id: r.shard for r in op10_sharding.ring_shards(df, n).collect()} for n in (24, 25))
+    moved = [i for i in old if old[i] != new[i]]
+    assert sum(new[i] == 24 for i in moved) == 160  # the new shard's equal share: no law can move less
+    assert len(moved) <= 0.04 * 4000 + 0.1 * 4000
+
+
+def test_many_identical_rows_are_spread(spark):
+    df = spark.createDataFrame(make([(7, "same text")] * 3000 + [(None, None)] * 1000), SCHEMA)
+    got = op10_sharding.ring_shards(df).groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("s"), F.max("slot").alias("m")).collect()
+    assert len(got) == 24 and all(r.n in (166, 167) and r.s == r.n == r.m + 1 for r in got)
+
+
 def test_decontamination(spark, docs, nothing):
     rng = random.Random(12)
     items = [(1, "Yesterday Tom Hill bought 12 apples for 30 dollars and sold 5 of them to Ann Lee for 9 dollars each day."), (2, text_of(rng, 40, 10**6)), (3, None), (4, "short item text"), (2, text_of(rng, 12, 10**6))]
@@ -653,6 +674,42 @@ def test_urls(spark):
     assert op03_urls.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_suffix_statistics_leave_out_the_hosts_of_a_fold(spark):
+    rng = random.Random(28)
+    urls = [f"https://{h}/{rng.choice(['fr', 'de', 'en'])}/{i}" for i in range(600) for h in [f"h{rng.randrange(60)}.{rng.choice(['a.com', 'b.com', 'org', 'net'])}"]]
+    ruled = op03_urls.ruled_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"))
+    rows = ruled.collect()
+    fold = lambda h: zlib.crc32(h.encode()) % op03_urls.FOLDS
+    labelled = [r for r in rows if r.label]
+    share = (sum(r.label == "block" for r in labelled) + 1) / (len(labelled) + 2)
+    got = {r.of_host: r for r in op03_urls.host_statistics(ruled).collect()}
+    assert set(got) == {r.host for r in rows}
+    for host, r in got.items():
+        for n in (1, 2, 3):
+            last = lambda h: ".".join(h.split(".")[-n:]) if len(h.split(".")) >= n else None  # noqa: B023, E731
+            other = [x.label == "block" for x in labelled if fold(x.host) != fold(host) and last(host) and last(x.host) == last(host)]
+            assert r[f"suffix_count_{n}"] == len(other) and abs(r[f"suffix_blocked_{n}"] - (sum(other) + 20 * share) / (len(other) + 20)) < 1e-12
+
+
+def test_long_and_held_out_urls(spark):
+    rng = random.Random(29)
+    # what is blocked has more digits and parameters: labels follow from rules on hosts, and the trees must find the form
+    rows = []
+    for i in range(1500):
+        bad = rng.random() < 0.4
+        host = f"{'x' if bad else 'y'}{rng.randrange(300)}.{'com' if rng.random() < 0.5 else 'net'}"
+        path = ("de/" if bad else "fr/") + "".join(rng.choices("0123456789" if bad else "abcdefgh", k=12))
+        rows.append((i, f"http://{host}/{path}" + ("?a=1&b=2" if bad else "")))
+    rows.append((9000, "http://long.net/" + "a/1?" * 50_000))
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    found = op03_urls.held_out_accuracy(pages)
+    assert found["rows"] > 100 and found["accuracy"] > 0.97 > found["frequent"]
+    got = {r.page_id: r.verdict for r in op03_urls.judge_urls(pages).collect()}
+    right = [got[i] == ("block" if "/de/" in u else "allow") for i, u in rows[:-1]]
+    assert len(got) == len(rows) and sum(right) > 0.97 * len(right)
+    assert op03_urls.held_out_accuracy(pages.limit(0))["rows"] == 0
+
+
 def test_trees_learn():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(3000, 4))

@@ -45,6 +45,18 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, out).count() == len(kept["sharding"])
 
 
+def test_language_stage_drops_other_languages(spark, tmp_path):
+    rng = random.Random(3)
+    stems = {"aa": ["ka", "mo", "si", "pa", "tu", "re", "ni"], "bb": ["sch", "gru", "wol", "zwe", "bli", "kno", "tau"]}
+    text = lambda n, a: " ".join("".join(rng.choices(a, k=3)) for _ in range(n))
+    rows = [(i, text(40, stems[lang]), lang) for i in range(200) for lang in [("aa", "bb")[i % 2]]]
+    rows += [(300, text(20, stems["aa"]) + " " + text(20, stems["bb"]), None), (301, text(3000, stems["aa"]), None)]  # two languages, and a very long text
+    foreign = [(400, "Ο Αχιλλέας πήγε στη θάλασσα με το πλοίο", None), (401, "Съешь же ещё этих мягких французских булок", None), (402, "zxq vjfq qqyx hhdq xxyd fqvj " * 20, None), (403, "すべての人間は、生まれながらにして自由", None), (404, "++ -- 12", None)]
+    out = make(spark, tmp_path, [(*r, "src1", 9, "r", "i", "s", 3) for r in rows + foreign], [])
+    got = {r.doc_id for r in corpus_pipeline.language_id(spark, spark.read.parquet(f"{out}/documents.parquet"), out).collect()}
+    assert got == {r[0] for r in rows}
+
+
 def test_decontamination_decides_by_row(spark, tmp_path):
     rng = random.Random(2)
     text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))
@@ -67,7 +79,7 @@ def test_registered():
     assert "pipeline" in names and set(__spark_entry__.oracle_sql()) <= set(names)
 
 
-@pytest.mark.parametrize("name", ["op1_minhash_near_dedup", "op4_substring_dedup", "op7_source_mixing", "op9_quality_rules"])
+@pytest.mark.parametrize("name", ["op1_minhash_near_dedup", "op4_substring_dedup", "op7_source_mixing", "op9_quality_rules", "op10_ring_sharding", "base_personal_data", "base_url_rules"])
 def test_sql(spark, name):
     import duckdb
 
@@ -77,7 +89,8 @@ def test_sql(spark, name):
     if not sf.exists():
         pytest.skip("no driver tables")
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for name_ in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {name_} AS SELECT * FROM '{sf}/{name_}.parquet'")
     want = con.sql(__spark_entry__.oracle_sql()[name]).df()
     got = __spark_entry__.queries()[name](spark, str(sf)).toPandas()
     rows = lambda f: sorted(map(str, f[sorted(want.columns)].itertuples(index=False, name=None)))

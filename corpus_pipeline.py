@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import op08_langid
-from helixframe.llm.common import ids, save, table
+from helixframe.llm.common import alone, drop, ids, table
 from helixframe.llm.op01_minhash import near_duplicates
 from helixframe.llm.op02_decontam import contaminated_texts
 from helixframe.llm.op07_mixing import default_weights, domain_of, mix
 from helixframe.llm.op10_sharding import ring_shards
 
-#: Texts whose likeliest language is less likely than this, or that have no letters, go; texts in two languages stay.
-MIN_LANGUAGE_SCORE = 0.3
+#: A text is of no learned language if the model has met less than this share of its n-grams in training.
+MIN_KNOWN = 0.5
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -27,12 +27,15 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language is identified with a score of MIN_LANGUAGE_SCORE or more."""
+    """Drops texts without letters and texts of no learned language: those of which less than MIN_KNOWN of the n-grams came in any training text.
+
+    Texts that mix learned languages, which no single language fits, stay.
+    """
     model = op08_langid.train(docs.select("doc_id", "text", "lang"), ~op08_langid.held_out())
     if model is None:  # nothing to learn from, nothing to reject by
         return docs
     judged = op08_langid.predict(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text"), model)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("row.*")
+    return judged.where((F.col("lang_pred") != "und") & (F.col("known") >= MIN_KNOWN)).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +66,7 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontamination", decontamination), ("source_mixing", source_mixing), ("sharding", sharding)]
-#: No SQL: a trained classifier and sketches decide. tests/llm holds it against a brute-force version.
+#: No SQL: a trained classifier and sketches decide. tests/llm holds each stage's kept rows against a plain version of its rule.
 ORACLE_SQL = None
 
 
@@ -71,5 +74,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order; each reads what the one before has written to the shared folder."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir), name)
+        before, docs = docs, alone(spark, lambda f=stage, d=docs: f(spark, d, sf_dir), name)
+        drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)

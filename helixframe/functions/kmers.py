@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from helixframe.functions.alphabet import IUPAC
 
@@ -109,3 +110,18 @@ def kmers(df: DataFrame, keys: list[str], seq: str, at: list[int], expand: int =
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[: len(keys)])
     return df.mapInArrow(run, f"{fields}, {pos} int, {kmer} long")
+
+
+def counts(df: DataFrame, seq: str, at: list[int], expand: int = 0) -> DataFrame:
+    """df(seq) -> (kmer, n): occurrences, added up within each piece before a row leaves Python."""
+    df = df.select(seq)
+    width = at[-1] + 1
+
+    def run(batches):
+        for batch in batches:
+            for data, row, _, _ in _pieces(batch, 0, width):
+                start, value = _windows(data, at, expand)
+                kmer, n = np.unique(value[row[start] == row[start + width - 1]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(kmer), pa.array(n.astype(np.int64))], names=["kmer", "n"])
+
+    return df.mapInArrow(run, "kmer long, n long").groupBy("kmer").agg(F.sum("n").alias("n"))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import bisect
+import math
 import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions.alphabet import IUPAC, reverse_complement, subsequence
+from helixframe.functions.alphabet import reverse_complement, subsequence
 from helixframe.functions.settings import context
 
 #: Scores of the degenerate matrix between letters, and with anything else. Fixed values.
@@ -33,17 +36,30 @@ DEGMATCH = np.array(
         [1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1],
     ]
 )
+#: The public NUC.4.4 scores, which are EDNAFULL's too, between the same letters. Fixed values.
+NUC44 = np.array(
+    [
+        [5, -4, -4, -4, -4, 1, 1, -4, -4, 1, -4, -1, -1, -1, -2],
+        [-4, 5, -4, -4, -4, 1, -4, 1, 1, -4, -1, -4, -1, -1, -2],
+        [-4, -4, 5, -4, 1, -4, 1, -4, 1, -4, -1, -1, -4, -1, -2],
+        [-4, -4, -4, 5, 1, -4, -4, 1, -4, 1, -1, -1, -1, -4, -2],
+        [-4, -4, 1, 1, -1, -4, -2, -2, -2, -2, -1, -1, -3, -3, -1],
+        [1, 1, -4, -4, -4, -1, -2, -2, -2, -2, -3, -3, -1, -1, -1],
+        [1, -4, 1, -4, -2, -2, -1, -4, -2, -2, -3, -1, -3, -1, -1],
+        [-4, 1, -4, 1, -2, -2, -4, -1, -2, -2, -1, -3, -1, -3, -1],
+        [-4, 1, 1, -4, -2, -2, -2, -2, -1, -4, -1, -3, -3, -1, -1],
+        [1, -4, -4, 1, -2, -2, -2, -2, -4, -1, -3, -1, -1, -3, -1],
+        [-4, -1, -1, -1, -1, -3, -3, -1, -1, -3, -1, -2, -2, -2, -1],
+        [-1, -4, -1, -1, -1, -3, -1, -3, -3, -1, -2, -1, -2, -2, -1],
+        [-1, -1, -4, -1, -3, -1, -3, -1, -3, -1, -2, -2, -1, -2, -1],
+        [-1, -1, -1, -4, -3, -1, -1, -3, -1, -3, -2, -2, -2, -1, -1],
+        [-2, -2, -2, -2, -1, -1, -1, -1, -1, -1, -1, -1, -1, -1, -1],
+    ]
+)
 OTHER = -4
-
-
-def _by_overlap() -> np.ndarray:
-    """Public nucleotide scores: 5 and -4 between bases; a degenerate letter scores the mean of what it may stand for, rounded half away from zero."""
-    sets = [set(IUPAC[c]) for c in LETTERS]
-    mean = [[sum(5 if x == y else -4 for x in a for y in b) / (len(a) * len(b)) for b in sets] for a in sets]
-    return np.array([[int(np.sign(m) * np.floor(abs(m) + 0.5)) for m in row] for row in mean])
-
-
-MATRICES = {"degmatch": DEGMATCH, "dnafull": _by_overlap(), "nuc44": _by_overlap()}
+MATRICES = {"degmatch": DEGMATCH, "dnafull": NUC44, "nuc44": NUC44}
+#: Cells of moves that a traceback keeps at a time; beyond that it makes them again from rows kept on the way.
+CELLS = 1 << 24
 
 
 def _codes(seq: str) -> np.ndarray:
@@ -70,30 +86,41 @@ def align(query: str, subject: str, gap_open: int = 10, gap_extend: int = 1, mat
     score = _matrix(matrix)
     q, s = _codes(query), _codes(subject)
     m, n = len(q), len(s)
+    step = max(1, min(m, max(CELLS // (n + 1), math.isqrt(m))))
     low = np.int64(-(2**40))
-    h, f = np.zeros(n + 1, np.int64), np.full(n + 1, low)
-    move = np.zeros((m + 1, n + 1), np.uint8) if trace else None  # 1 pair, 2 gap in subject, 4 gap in query; 8, 16: these go on
-    last = [0]
     j = np.arange(n + 1, dtype=np.int64) * gap_extend
-    for i in range(1, m + 1):
-        f_open, f_more = h - gap_open, f - gap_extend
-        f = np.maximum(f_open, f_more)
-        f[0] = low
-        pair = np.full(n + 1, low)
-        pair[1:] = h[:-1] + score[q[i - 1], s]
-        best = np.maximum(pair, f)
-        best[0] = 0
-        run = np.maximum.accumulate(best + j)
-        e = np.full(n + 1, low)
-        e[1:] = run[:-1] - gap_open - j[1:] + gap_extend
-        h = np.maximum(best, e)
-        h[0] = 0
-        last.append(int(h[n]))
-        if trace:
-            row = move[i]
-            row[:] = np.where(h == pair, 1, np.where(h == f, 2, 4))
-            row[f_more > f_open] |= 8
-            row[1:][(e[1:] == e[:-1] - gap_extend) & (e[1:] > h[:-1] - gap_open)] |= 16
+
+    def rows(first: int, end: int, h: np.ndarray, f: np.ndarray, move: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Rows first + 1 to end from row first. move: 1 pair, 2 gap in subject, 4 gap in query; 8, 16: these go on."""
+        last = []
+        for i in range(first + 1, end + 1):
+            f_open, f_more = h - gap_open, f - gap_extend
+            f = np.maximum(f_open, f_more)
+            f[0] = low
+            pair = np.full(n + 1, low)
+            pair[1:] = h[:-1] + score[q[i - 1], s]
+            best = np.maximum(pair, f)
+            best[0] = 0
+            run = np.maximum.accumulate(best + j)
+            e = np.full(n + 1, low)
+            e[1:] = run[:-1] - gap_open - j[1:] + gap_extend
+            h = np.maximum(best, e)
+            h[0] = 0
+            last.append(int(h[n]))
+            if move is not None:
+                row = move[i - first]
+                row[:] = np.where(h == pair, 1, np.where(h == f, 2, 4))
+                row[f_more > f_open] |= 8
+                row[1:][(e[1:] == e[:-1] - gap_extend) & (e[1:] > h[:-1] - gap_open)] |= 16
+        return h, f, last
+
+    h, f = np.zeros(n + 1, np.int64), np.full(n + 1, low)
+    last, kept, move, base = [0], [], None, 0
+    for first in range(0, m, step):
+        kept.append((h, f))
+        move, base = (np.zeros((min(step, m - first) + 1, n + 1), np.uint8) if trace else None), first
+        h, f, more = rows(first, min(m, first + step), h, f, move)
+        last += more
     if not m or not n:
         return {"alnscore": 0, "q_beg": 0, "q_end": m - 1, "s_beg": 0, "s_end": n - 1, "npositive": 0, "nnegative": 0, "cigar": "", "qseq": "", "sseq": "", "aln_len": 0}
     column = int(np.argmax(last))
@@ -106,18 +133,22 @@ def align(query: str, subject: str, gap_open: int = 10, gap_extend: int = 1, mat
     tail = [("D", n - k)] if i == m else [("I", m - i)]
     kind = 1
     while i > 0 and k > 0:
-        step = move[i, k]
+        if i <= base or i > base + len(move) - 1:  # the row is of another part: make its moves again
+            base = (i - 1) // step * step
+            move = np.zeros((min(step, m - base) + 1, n + 1), np.uint8)
+            rows(base, min(m, base + step), *kept[base // step], move)
+        cell = move[i - base, k]
         if kind == 1:
-            kind = step & 7
+            kind = cell & 7
         if kind == 1:
             i, k = i - 1, k - 1
             ops.append("=" if score[q[i], s[k]] > 0 else "X")
         elif kind == 2:
-            kind = 2 if step & 8 else 1
+            kind = 2 if cell & 8 else 1
             i -= 1
             ops.append("I")
         else:
-            kind = 4 if step & 16 else 1
+            kind = 4 if cell & 16 else 1
             k -= 1
             ops.append("D")
     head = [("I", i), ("D", k)]
@@ -155,19 +186,30 @@ def window_bounds(sstart: Column, send: Column, slen: Column, ctx: Column) -> tu
     return F.greatest(F.lit(0), sstart - ctx).cast("long"), F.least(send + ctx, slen - 1).cast("long")
 
 
-def stage3(hits: DataFrame, queries: DataFrame, sequences: DataFrame, is_ratio: bool = True, ctx: float = 2.0, trace: bool = False, resolve: bool = True, min_ppositive: float = 0.0, min_npositive: int = 0, rounds: int = 100, **how) -> DataFrame:
+#: Subjects up to this number are broadcast (two numbers each) to take them from the table of sequences.
+FEW = 500_000
+
+
+def of_hits(sequences: DataFrame, hits: DataFrame, key: list[str]) -> DataFrame:
+    """The sequences that hits name. If these are few, by their counted number, the others go in the scan, before any shuffle."""
+    named = hits.select(*key).distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    few = named.limit(FEW + 1).count() <= FEW
+    return sequences.join(F.broadcast(named) if few else named, key, "left_semi")
+
+
+def stage3(hits: DataFrame, queries: DataFrame, sequences: DataFrame, is_ratio: bool = True, ctx: float = 2.0, trace: bool = False, resolve: bool = True, min_ppositive: float = 0.0, min_npositive: int = 0, **how) -> DataFrame:
     """hits(qseqid, strand, volume, oid, ..., sstart, send) with alignments; sequences are joined on (volume, oid).
 
     Each hit is aligned with its query (reversed on the minus strand, whose
     query places are then those of the reversed query) in its surroundings.
-    Hits of the same query, subject and strand whose surroundings overlap are
-    resolved: that with the smaller chain is cut back and aligned again, or goes.
+    Hits of the same query, subject and strand that overlap are resolved (see
+    `resolve_group`). Of queries with one id the greatest text counts.
     """
-    q = queries.select("qseqid", F.col("seq").alias("_q")).dropDuplicates(["qseqid"])
-    s = sequences.select("volume", "oid", F.col("seq").alias("_s"), F.col("slen").alias("_n"))
+    q = queries.groupBy("qseqid").agg(F.max("seq").alias("_q"))
+    s = of_hits(sequences, hits, ["volume", "oid"]).select("volume", "oid", F.col("seq").alias("_s"), F.col("slen").alias("_n"))
     df = hits.join(q, "qseqid").join(s, ["volume", "oid"])
     first, last = window_bounds(F.col("sstart"), F.col("send"), F.col("_n"), context(F.length("_q"), is_ratio, ctx))
-    df = df.withColumn("_first", first).withColumn("_last", last).withColumn("_part", subsequence(F.col("_s"), F.col("_first"), F.col("_last")))
+    df = df.withColumn("_first", first).withColumn("_last", last).withColumn("_part", subsequence(F.col("_s"), F.col("_first"), F.col("_last"))).drop("_s")
     df = df.where(F.length("_part") > 0).withColumn("_q", F.when(F.col("strand") == "-", reverse_complement(F.col("_q"))).otherwise(F.col("_q")))
     df = df.withColumn("a", align_function(trace=trace, **how)("_q", "_part"))
     for name in ("alnscore", "npositive", "nnegative", "cigar", "qseq", "sseq"):
@@ -178,57 +220,64 @@ def stage3(hits: DataFrame, queries: DataFrame, sequences: DataFrame, is_ratio:
     df = df.withColumn("ppositive", F.when(F.col("a.aln_len") > 0, 100.0 * F.col("npositive") / F.col("a.aln_len")).otherwise(F.lit(0.0)))
     columns = [*hits.columns, *[c for c in ("qstart", "qend", "alnscore", "npositive", "nnegative", "ppositive", "cigar", "qseq", "sseq") if c not in hits.columns]]
     if resolve and ctx > 0:
-        df = _resolved(df, columns, is_ratio, ctx, trace, rounds, how)
+        df = _resolved(df, columns, trace, how)
     df = df.select(*columns)
     if trace:
         df = df.where((F.col("ppositive") >= min_ppositive) & (F.col("npositive") >= min_npositive))
     return df
 
 
-def resolve_group(rows: list[dict], is_ratio: bool, ctx: float, trace: bool, rounds: int, how: dict) -> list[dict]:
-    """Overlap resolution among the hits of one query, subject and strand."""
-    rows.sort(key=lambda r: (r["sstart"], r["send"], -r["chainscore"]))
-    for _ in range(rounds):
-        changed = False
-        for a, b in zip(rows, rows[1:]):
-            if a.get("_gone") or b.get("_gone") or a["send"] < b["sstart"]:
-                continue
-            keep, cut = (a, b) if a["chainscore"] >= b["chainscore"] else (b, a)
-            size = len(cut["_q"])
-            around = int(size * ctx) if is_ratio else int(ctx)
-            changed = True
-            if cut["sstart"] <= keep["sstart"]:
-                first, last = cut["_first"], keep["sstart"] - 1
-                cut["_gone"] = cut["sstart"] >= keep["sstart"]
-            else:
-                first, last = keep["send"] + 1, min(cut["send"] + around, cut["_n"] - 1)
-                cut["_gone"] = first >= cut["send"]
-            if cut["_gone"] or first >= last:
-                cut["_gone"] = True
-                continue
-            r = align(cut["_q"], cut["_s"][first : last + 1], trace=trace, **how)
-            cut |= {"_first": first, "alnscore": r["alnscore"], "qend": r["q_end"], "send": first + r["s_end"]}
-            if trace:
-                cut |= {"qstart": r["q_beg"], "sstart": first + r["s_beg"], "npositive": r["npositive"], "nnegative": r["nnegative"], "cigar": r["cigar"], "qseq": r["qseq"], "sseq": r["sseq"], "ppositive": 100.0 * r["npositive"] / r["aln_len"] if r["aln_len"] else 0.0}
-            else:
-                cut["sstart"] = max(cut["sstart"], first)
-        rows = sorted((r for r in rows if not r.get("_gone")), key=lambda r: (r["sstart"], r["send"], -r["chainscore"]))
-        if not changed:
-            break
-    return rows
+def room(start: int, end: int, window: tuple[int, int], taken: list[tuple[int, int]]) -> tuple[int, int] | None:
+    """The part of a subject that is left to a hit from start to end beside the stretches taken (disjoint, by place); None if there is none.
 
+    A hit that overlaps nothing keeps its place. One that begins on free ground has what lies between
+    its neighbours there; one that begins within a taken stretch, but not with it, has what follows that stretch.
+    """
+    at = bisect.bisect_right(taken, (start, math.inf))
+    before = taken[at - 1] if at else (-1, -1)
+    after = taken[at][0] if at < len(taken) else math.inf
+    if before[1] >= start:
+        low, high = before[1] + 1, min(window[1], after - 1)
+        return (low, int(high)) if before[0] < start and low < end and low < high else None
+    if after > end:
+        return start, end
+    low = max(window[0], before[1] + 1)
+    return (low, int(after) - 1) if low < after - 1 else None
+
+
+def resolve_group(rows: list[dict], trace: bool, how: dict) -> list[dict]:
+    """Hits of one query, subject and strand, made disjoint: the strongest takes its place first, and each further one
+    is aligned again in the room that is left to it in its surroundings, or goes. rows hold _q, _part, _first and _last.
+    """
+    taken: list[tuple[int, int]] = []
+    kept = []
+    for r in sorted(rows, key=lambda r: (-r["chainscore"], r["sstart"], r["send"])):
+        free = room(r["sstart"], r["send"], (r["_first"], r["_last"]), taken)
+        if free is None:
+            continue
+        if free != (r["sstart"], r["send"]):
+            low, high = free
+            a = align(r["_q"], r["_part"][low - r["_first"] : high + 1 - r["_first"]], trace=trace, **how)
+            r = r | {"alnscore": a["alnscore"], "qend": a["q_end"], "sstart": max(r["sstart"], low), "send": low + a["s_end"]}
+            if trace:
+                share = 100.0 * a["npositive"] / a["aln_len"] if a["aln_len"] else 0.0
+                r |= {"qstart": a["q_beg"], "sstart": low + a["s_beg"], "ppositive": share, **{c: a[c] for c in ("npositive", "nnegative", "cigar", "qseq", "sseq")}}
+            if r["send"] < r["sstart"]:
+                continue
+        bisect.insort(taken, (r["sstart"], r["send"]))
+        kept.append(r)
+    return sorted(kept, key=lambda r: r["sstart"])
 
-def _resolved(df: DataFrame, columns: list[str], is_ratio: bool, ctx: float, trace: bool, rounds: int, how: dict) -> DataFrame:
-    """Only groups of several hits go through Python; hits that are alone pass by."""
-    from pyspark.sql import Window
 
+def _resolved(df: DataFrame, columns: list[str], trace: bool, how: dict) -> DataFrame:
+    """Only groups of several hits go through Python, with their surroundings; hits that are alone pass by."""
     group = ["qseqid", "volume", "oid", "strand"]
     df = df.withColumn("_size", F.count("*").over(Window.partitionBy(*group)))
-    more = df.where("_size > 1").select(*columns, "_q", "_s", "_n", "_first")
+    more = df.where("_size > 1").select(*columns, "_q", "_part", "_first", "_last")
     schema = more.select(*columns).schema
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        rows = resolve_group(f.to_dict("records"), is_ratio, ctx, trace, rounds, how)
+        rows = resolve_group(f.to_dict("records"), trace, how)
         return pd.DataFrame([[r[c] for c in columns] for r in rows], columns=columns).astype({c: f[c].dtype for c in columns})
 
     return df.where("_size = 1").select(*columns).unionByName(more.groupBy(*group).applyInPandas(run, schema))

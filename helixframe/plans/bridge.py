@@ -6,6 +6,9 @@ The second bridge keeps four degenerate letters, for j, q, x and z.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,5 +43,15 @@ def queries(spark: SparkSession, sf_dir: str, codes: bool = False) -> DataFrame:
     return b.select(F.col("item_id").alias("qseqid"), dna(F.col("text"), codes).alias("seq"))
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder for a table that a query writes and reads again: in spark.checkpoint.dir, which all executors share, or in one process a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="helixframe-")
+    return f"{named.rstrip('/')}/index-{uuid.uuid4().hex}"
+
+
 SEQUENCES_SQL = f"s AS (SELECT (doc_id % 2)::INT AS volume, doc_id AS oid, 'D' || doc_id AS accession, {dna_sql('text')} AS seq FROM documents)"
 QUERIES_SQL = f"q AS (SELECT item_id AS qseqid, {dna_sql('text')} AS seq FROM benchmark)"

@@ -9,7 +9,8 @@ from helixframe.functions import alphabet, kmers, seeds, settings
 from helixframe.operators import align, info, primers, queries as qs, retrieve, stages
 from helixframe.operators import index as ix
 from helixframe.plans import bridge
-from helixframe.plans.search import SearchConfig, search
+from helixframe.plans.primers import search_primers
+from helixframe.plans.search import SearchConfig, notes, search
 from helixframe.sources import sinks
 
 K, SMALL, SPAN, SHARE = 11, 8, 16, 0.5
@@ -95,7 +96,7 @@ def kmer_scan(spark, sf_dir):
 
 @query(f"WITH {_S}, {_windows('sk', 's', 'oid', SMALL)}, c AS (SELECT kmer, count(*) AS n FROM sk GROUP BY kmer) SELECT {_value('kmer', '0', list(range(SMALL)))} AS kmer, n FROM c")
 def kmer_counts(spark, sf_dir):
-    return ix.kmer_counts(ix.postings(bridge.sequences(spark, sf_dir), SMALL))
+    return ix.occurrences(bridge.sequences(spark, sf_dir), SMALL)
 
 
 @query(f"WITH {_Q}, {_RC} SELECT qseqid, seq FROM t")
@@ -150,7 +151,7 @@ def _small_threshold(s: DataFrame) -> int:
 @query(f"WITH {_COUNTS} SELECT {_value('kmer', '0', list(range(SMALL)))} AS kmer FROM c, l WHERE n > most")
 def highfreq_kmers(spark, sf_dir):
     s = bridge.sequences(spark, sf_dir)
-    return ix.frequent(ix.kmer_counts(ix.postings(s, SMALL)), _small_threshold(s))
+    return ix.frequent(ix.occurrences(s, SMALL), _small_threshold(s))
 
 
 @query(f"WITH {_COUNTS} SELECT volume, oid, count(*) AS n FROM sk JOIN c USING (kmer), l WHERE n <= most GROUP BY volume, oid")
@@ -162,7 +163,7 @@ def index_exclude_anti(spark, sf_dir):
 @query(f"WITH {_S}, {_windows('sk', 's', 'volume, oid', SMALL)} SELECT (SELECT count(*) FROM s) AS sequences, (SELECT sum(length(seq)) FROM s)::BIGINT AS bases, count(*) AS postings, count(DISTINCT kmer) AS kmers FROM sk")
 def index_totals(spark, sf_dir):
     s = bridge.sequences(spark, sf_dir)
-    return info.totals(s, ix.kmer_counts(ix.postings(s, SMALL)))
+    return info.totals(s, ix.occurrences(s, SMALL))
 
 
 _SLOTS = 4**SMALL
@@ -174,14 +175,14 @@ _P = ", ".join(f"round(quantile_cont(n, {p}::DOUBLE), 6) AS p{round(100 * p)}" f
     f"SELECT count(*) FILTER (n > 0) AS kmers, min(n) FILTER (n > 0) AS least, max(n) AS most, round(sum(n)::DOUBLE / {_SLOTS}, 6) AS mean, {_P} FROM f"
 )
 def freq_stats(spark, sf_dir):
-    out = info.frequency(ix.kmer_counts(ix.postings(bridge.sequences(spark, sf_dir), SMALL)), SMALL)
+    out = info.frequency(ix.occurrences(bridge.sequences(spark, sf_dir), SMALL), SMALL)
     return out.select("kmers", "least", "most", *[F.round(c, 6).alias(c) for c in ("mean", "p25", "p50", "p75", "p95", "p99")])
 
 
 @query(f"WITH {_S}, {_windows('sk', 's', 'oid', SMALL)} SELECT least(100000, greatest(1000, floor(10.0::DOUBLE * count(*) / {_SLOTS})))::BIGINT AS max_freq FROM sk")
 def max_freq_auto(spark, sf_dir):
-    n = ix.postings(bridge.sequences(spark, sf_dir), SMALL).agg(F.count("*").alias("n"))
-    return n.select(F.least(F.lit(100_000), F.greatest(F.lit(1000), F.floor(10.0 * F.col("n") / _SLOTS))).cast("long").alias("max_freq"))
+    n = ix.occurrences(bridge.sequences(spark, sf_dir), SMALL).agg(F.sum("n")).first()[0] or 0
+    return spark.createDataFrame([(settings.search_threshold(0, 0, n, SMALL),)], "max_freq long")
 
 
 # thresholds and stage 1 ----------------------------------------------------
@@ -260,6 +261,48 @@ def oid_exclude(spark, sf_dir):
     return _candidates(qk, posts, stages.allowed(s, _named(spark, sf_dir), exclude=True))
 
 
+# whole searches in SQL ------------------------------------------------------
+
+
+def _found(select: str, ats: tuple = (tuple(range(K)),), strands: str = "+", high: float | None = None, queries: str = _Q, share: float = SHARE, least: str = "max(threshold)", gap: int = 100) -> str:
+    """CTEs to `f`, chains with a lookback of 64, one for each candidate, and a last part. Chains grow hit by hit in a recursion: the first best hit before, of those that fit, goes on."""
+    k, span = len(ats[0]), ats[0][-1] + 1
+    parts, qk, sk = [], [], []
+    for t, at in enumerate(map(list, ats)):
+        parts.append(_windows(f"sk_{t}", "s", "volume, oid", k, at))
+        sk.append(f"SELECT {t} AS t, volume, oid, pos, kmer FROM sk_{t}")
+        if "+" in strands:
+            parts.append(_windows(f"qp_{t}", "q", "qseqid", k, at))
+            qk.append(f"SELECT {t} AS t, '+' AS strand, qseqid, pos, kmer FROM qp_{t}")
+        if "-" in strands:
+            parts.append(_windows(f"qm_{t}", "t", "qseqid, length(seq) AS n", k, at))
+            qk.append(f"SELECT {t} AS t, '-' AS strand, qseqid, n - pos - {span} AS pos, kmer FROM qm_{t}")
+    often = f"GROUP BY ALL HAVING count(*) > (SELECT greatest(1, ceil({high}::DOUBLE * count(*))) FROM s)" if high else "WHERE false"
+    fits = "qs[j] < qs[i + 1] AND ss[j] < ss[i + 1] AND abs((ss[i + 1] - ss[j]) - (qs[i + 1] - qs[j])) <= " + str(gap)
+    return f"""WITH RECURSIVE {_S}, {queries}, {_RC}, {', '.join(parts)},
+        qk AS (SELECT * FROM ({' UNION ALL '.join(qk)}) WHERE NOT contains(kmer, 'N')), sk AS ({' UNION ALL '.join(sk)}),
+        hf AS (SELECT t, kmer FROM sk {often}),
+        lt AS (SELECT qseqid, strand, t, greatest(0, ceil(count(*) * {share}::DOUBLE)::BIGINT - count(hf.kmer)) AS threshold FROM qk LEFT JOIN hf USING (t, kmer) GROUP BY qseqid, strand, t),
+        lim AS (SELECT qseqid, strand, sum(threshold) AS threshold, {least} AS least FROM lt GROUP BY ALL),
+        h AS (SELECT t, qseqid, strand, sk.volume, sk.oid, qk.pos AS q_pos, sk.pos AS s_pos FROM qk JOIN sk USING (t, kmer) ANTI JOIN hf USING (t, kmer)),
+        a AS (SELECT qseqid, strand, volume, oid, sum(n)::BIGINT AS score FROM (SELECT t, qseqid, strand, volume, oid, count(DISTINCT q_pos) AS n FROM h GROUP BY ALL) GROUP BY ALL),
+        c AS (SELECT a.*, least FROM a JOIN lim USING (qseqid, strand) WHERE score >= threshold AND threshold > 0),
+        d AS (SELECT DISTINCT qseqid, strand, volume, oid, score, least, CASE strand WHEN '-' THEN length(q.seq) - q_pos - {span} ELSE q_pos END AS q_pos, s_pos FROM h JOIN c USING (qseqid, strand, volume, oid) JOIN q USING (qseqid)),
+        g AS (SELECT qseqid, strand, volume, oid, score, least, list(q_pos ORDER BY q_pos, s_pos) AS qs, list(s_pos ORDER BY q_pos, s_pos) AS ss, count(*) AS n FROM d GROUP BY ALL),
+        r AS (SELECT qseqid, strand, volume, oid, 1::BIGINT AS i, [1::BIGINT] AS best, [1::BIGINT] AS root FROM g
+            UNION ALL SELECT qseqid, strand, volume, oid, i + 1, list_append(best, m + 1), list_append(root, CASE WHEN m > 0 THEN root[low + list_position(v, m) - 1] ELSE i + 1 END)
+            FROM (SELECT *, list_max(v) AS m FROM (SELECT r.*, greatest(1, i - 63) AS low, list_transform(range(greatest(1, i - 63), i + 1), lambda j: CASE WHEN {fits} THEN best[j] ELSE 0 END) AS v FROM r JOIN g USING (qseqid, strand, volume, oid) WHERE i < n))),
+        e AS (SELECT r.*, qs, ss, score, least, list_max(best) AS top, list_position(best, list_max(best)) AS z FROM r JOIN g USING (qseqid, strand, volume, oid) WHERE i = n),
+        x AS (SELECT e.*, qs[root[z]] AS q0, qs[z] + {span} AS q1, length(q.seq) AS qlen FROM e JOIN q USING (qseqid) WHERE top >= least),
+        f AS (SELECT qseqid, strand, volume, oid, score, qlen, top::INT AS chainscore, (CASE strand WHEN '-' THEN qlen - q1 ELSE q0 END)::INT AS qstart, (CASE strand WHEN '-' THEN qlen - q0 ELSE q1 END)::INT AS qend, ss[root[z]]::INT AS sstart, (ss[z] + {span})::INT AS send FROM x)
+        {select}"""
+
+
+_CHAINS = "SELECT qseqid, strand, volume, oid, chainscore, qstart AS q_start, qend AS q_end, sstart AS s_start, send AS s_end FROM f"
+_MODE2 = "SELECT qseqid, accession AS sseqid, strand AS sstrand, qstart, qend, qlen::INT AS qlen, sstart, send, length(s.seq)::INT AS slen, score AS coverscore, chainscore, volume, oid FROM {0} JOIN s USING (volume, oid)"
+_BEST = "row_number() OVER (PARTITION BY {0} ORDER BY chainscore DESC, volume, oid, strand, sstart, qstart) <= 10"
+_TOP10 = f"(SELECT * FROM (SELECT * FROM f QUALIFY {_BEST.format('qseqid, volume')}) QUALIFY {_BEST.format('qseqid')})"
+
 # stage 2 -------------------------------------------------------------------
 
 _HITS = f"{_stage1(K)}, d AS (SELECT DISTINCT qseqid, '+' AS strand, volume, oid, q_pos, s_pos FROM h SEMI JOIN c USING (qseqid, volume, oid))"
@@ -296,12 +339,12 @@ def _chained(spark: SparkSession, sf_dir: str, strand: int = 1):
     return s, q, stages.chains(hits, limits, _lengths(q), K)
 
 
-@query()
+@query(_found(_CHAINS))
 def chain_default(spark, sf_dir):
     return _chained(spark, sf_dir)[2]
 
 
-@query()
+@query(_found(_CHAINS, strands="+-"))
 def chain_both_strands(spark, sf_dir):
     return _chained(spark, sf_dir, 2)[2]
 
@@ -359,9 +402,18 @@ def align_ungapped(spark, sf_dir):
     return out.select("qseqid", "volume", "oid", "alnscore")
 
 
+def _kept(indexes: list) -> list:
+    ix.release()  # what the query before has kept
+    return [ix.kept(i) for i in indexes]
+
+
+def _built(s: DataFrame, k: int):
+    return _kept([ix.build(s, k)])[0]
+
+
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, q = bridge.sequences(spark, sf_dir), bridge.queries(spark, sf_dir)
-    return search([ix.kept(ix.build(s, K))], q, SearchConfig(mode=3, max_freq=1.0, strand=1, trace=True, context="0.1"))
+    return search([_built(s, K)], q, SearchConfig(mode=3, max_freq=1.0, strand=1, trace=True, context="0.1"))
 
 
 @query()
@@ -379,7 +431,7 @@ def sam_rows(spark, sf_dir):
 
 def _mode1(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, q = bridge.sequences(spark, sf_dir), bridge.queries(spark, sf_dir)
-    return search([ix.kept(ix.build(s, K))], q, SearchConfig(mode=1, max_freq=1.0, strand=1))
+    return search([_built(s, K)], q, SearchConfig(mode=1, max_freq=1.0, strand=1))
 
 
 _MODE1 = f"WITH {_stage1(K)}, r AS (SELECT c.qseqid, s.accession AS sseqid, '+' AS sstrand, length(q.seq)::INT AS qlen, length(s.seq)::INT AS slen, score AS coverscore, c.volume, c.oid FROM c JOIN q USING (qseqid) JOIN s USING (volume, oid))"
@@ -403,16 +455,54 @@ def json_grouped(spark, sf_dir):
     return sinks.json_rows(_mode1(spark, sf_dir))
 
 
-@query()
+@query(_found(_MODE2.format(_TOP10), strands="+-", high=0.5))
 def search_mode2(spark, sf_dir):
     s, q = bridge.sequences(spark, sf_dir), bridge.queries(spark, sf_dir)
-    return search([ix.kept(ix.build(s, K))], q, SearchConfig(results=10))
+    return search([_built(s, K)], q, SearchConfig(results=10))
 
 
-@query()
+@query(_found(_MODE2.format("f"), ats=tuple(tuple(seeds.offsets(K, SPAN, t)) for t in seeds.templates(SPAN, "both"))))
 def search_both(spark, sf_dir):
     s, q = bridge.sequences(spark, sf_dir), bridge.queries(spark, sf_dir)
-    return search([ix.kept(i) for i in ix.build_all(s, K, SPAN, "both")], q, SearchConfig(strand=1, max_freq=1.0))
+    return search(_kept(ix.build_all(s, K, SPAN, "both")), q, SearchConfig(strand=1, max_freq=1.0))
+
+
+# written indexes -----------------------------------------------------------
+
+
+def _written(spark: SparkSession, s: DataFrame, k: int, **how):
+    """An index that is written in folders of one first base or more, and read again."""
+    built = ix.build(s, k, **how)
+    root = bridge.scratch(spark)
+    ix.write(built, root, 100_000)
+    return ix.read(spark, root, k), root
+
+
+@query(f"{_MODE1} FROM r")
+def search_written(spark, sf_dir):
+    s, q = bridge.sequences(spark, sf_dir), bridge.queries(spark, sf_dir)
+    return search([_written(spark, s, K)[0]], q, SearchConfig(mode=1, max_freq=1.0, strand=1))
+
+
+@query(f"WITH {_COUNTS} SELECT volume, oid, count(*) AS n FROM sk JOIN c USING (kmer), l WHERE n <= most GROUP BY volume, oid")
+def index_rewritten(spark, sf_dir):
+    s = bridge.sequences(spark, sf_dir)
+    read, _ = _written(spark, s, SMALL)
+    thin = ix.rewrite_without(read, _small_threshold(s))
+    root = bridge.scratch(spark)
+    ix.write(thin, root, 100_000)
+    return ix.read(spark, root, SMALL).postings.groupBy("volume", "oid").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_S}, {_windows('sk', 's', 'volume, oid', SMALL)} SELECT volume, oid, count(DISTINCT kmer) AS n FROM sk GROUP BY volume, oid")
+def index_without_places(spark, sf_dir):
+    read, _ = _written(spark, bridge.sequences(spark, sf_dir), SMALL, positions=False)
+    return read.postings.groupBy("volume", "oid").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_S}, {_windows('sk', 's', 'volume, oid', SMALL)} SELECT {SMALL} AS k, 0 AS span, 'con' AS template, 'db' AS title, 4 AS expand, true AS positions, (SELECT count(*) FROM s) AS sequences, (SELECT sum(length(seq)) FROM s)::BIGINT AS bases, count(*) AS postings, count(DISTINCT kmer) AS kmers FROM sk")
+def index_described(spark, sf_dir):
+    return info.described(spark, _written(spark, bridge.sequences(spark, sf_dir), SMALL, title="db")[1])
 
 
 # primers and retrieval -----------------------------------------------------
@@ -436,6 +526,20 @@ def primer_queries(spark, sf_dir):
     return primers.pairs(q.select(order.alias("ord"), F.concat(F.lit("P"), F.col("qseqid").cast("string")).alias("id"), F.substring("seq", 1, 20).alias("seq")), 50, K)
 
 
+_INSERT = 40
+_PAIRS = f"p AS (SELECT item_id, {bridge.dna_sql('text')} AS w FROM benchmark), q AS (SELECT 'P' || item_id || 'f__+__P' || item_id || 'r' AS qseqid, substr(w, 1, 20) || repeat('N', {_INSERT}) || substr(w, {21 + _INSERT}, 20) AS seq FROM p WHERE length(w) >= {40 + _INSERT})"
+
+
+@query(_found(_MODE2.format("f"), queries=_PAIRS, least=f"{20 - K + 2}", gap=_INSERT))
+def primer_search(spark, sf_dir):
+    """Primers at both ends of the first letters of each item."""
+    s, q = bridge.sequences(spark, sf_dir), bridge.queries(spark, sf_dir).where(F.length("seq") >= 40 + _INSERT)
+    name = lambda end: F.concat(F.lit("P"), F.col("qseqid").cast("string"), F.lit(end))
+    forward = q.select((2 * F.col("qseqid")).alias("ord"), name("f").alias("id"), F.substring("seq", 1, 20).alias("seq"))
+    backward = q.select((2 * F.col("qseqid") + 1).alias("ord"), name("r").alias("id"), alphabet.reverse_complement(F.substring("seq", 21 + _INSERT, 20)).alias("seq"))
+    return search_primers([_built(s, K)], forward.union(backward), _INSERT, config=SearchConfig(strand=1, max_freq=1.0, expand=1))
+
+
 def _as_hits(found: DataFrame, s: DataFrame, strand: str) -> DataFrame:
     return found.join(s.select("volume", "oid", F.col("accession").alias("sseqid")), ["volume", "oid"]).withColumn("sstrand", F.lit(strand))
 
@@ -473,13 +577,27 @@ def fasta_rows(spark, sf_dir):
 @query(
     f"""WITH {_DIAGONAL}, z AS (SELECT s.accession, e.* FROM e JOIN s USING (volume, oid)), m AS (SELECT accession, max(send) + 1 > 1000 AS long FROM z GROUP BY accession)
     SELECT DISTINCT '{retrieve.SERVICE}?db=nuccore&rettype=fasta&retmode=text&id=' || accession || '&seq_start=' || (greatest(0, sstart - 5) + 1) || '&seq_stop=' || (send + 6) AS url FROM z SEMI JOIN (FROM m WHERE long) USING (accession)
-    UNION ALL SELECT DISTINCT '{retrieve.SERVICE}?db=nuccore&rettype=fasta&retmode=text&id=' || accession FROM m WHERE NOT long"""
+    UNION ALL SELECT '{retrieve.SERVICE}?db=nuccore&rettype=fasta&retmode=text&id=' || string_agg(accession, ',' ORDER BY accession) FROM (SELECT accession, (row_number() OVER (ORDER BY ('0x' || substr(md5(accession), 1, 4))::INT % {retrieve.GROUPS}, accession) - 1) // 10 AS b FROM m WHERE NOT long) GROUP BY b"""
 )
 def efetch_plan(spark, sf_dir):
     s, _, found = _best(spark, sf_dir)
-    return retrieve.remote_plan(_as_hits(found, s, "+"), 5, 1, 1000).select("url")
+    return retrieve.remote_plan(_as_hits(found, s, "+"), 5, 10, 1000).select("url")
 
 
-@query()
+@query(
+    f"WITH {_COUNTS}, f AS (SELECT n FROM c UNION ALL SELECT 0 FROM range((SELECT {_SLOTS} - count(*) FROM c))), t AS (SELECT (SELECT count(*) FROM s) AS sequences, (SELECT sum(length(seq)) FROM s)::BIGINT AS bases, count(*) AS postings, count(DISTINCT kmer) AS kmers FROM sk) "
+    f"SELECT {SMALL} AS k, 0 AS span, 'con' AS template, '' AS title, sequences, bases, postings, kmers, min(n) FILTER (n > 0) AS least, max(n) AS most, round(sum(n)::DOUBLE / {_SLOTS}, 6) AS mean, {_P} FROM f, t GROUP BY ALL"
+)
 def info_report(spark, sf_dir):
-    return info.report(ix.build(bridge.sequences(spark, sf_dir), SMALL))
+    out = info.report(ix.build(bridge.sequences(spark, sf_dir), SMALL))
+    return out.select(*[F.round(c, 6).alias(c) if c == "mean" or c[0] == "p" and c[1:].isdigit() else c for c in out.columns])
+
+
+@query(
+    f"WITH q AS (SELECT item_id, {bridge.dna_sql('text', True)} AS seq FROM benchmark) SELECT 'skipped' AS kind, item_id::VARCHAR AS id FROM q WHERE regexp_matches(seq, '[RYSN]') "
+    "UNION ALL SELECT DISTINCT 'unknown', 'D' || doc_id FROM labels ANTI JOIN documents USING (doc_id) UNION ALL SELECT 'unknown', 'none'"
+)
+def search_notes(spark, sf_dir):
+    s, q = bridge.sequences(spark, sf_dir), bridge.queries(spark, sf_dir, codes=True)
+    listed = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("accession")).union(spark.createDataFrame([("none",)], "accession string"))
+    return notes([ix.build(s, SMALL)], q, SearchConfig(accept_degenerate=False), listed)

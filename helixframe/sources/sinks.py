@@ -22,15 +22,17 @@ def tsv_rows(hits: DataFrame) -> DataFrame:
     return hits.select(F.concat_ws("\t", *[F.col(c).cast("string") for c in shape(hits)]).alias("value"))
 
 
-def tsv(hits: DataFrame, path: str) -> None:
-    """Text files, each with the header."""
-    head = "# " + "\t".join(shape(hits))
-
+def _headed(rows: DataFrame, head: str) -> DataFrame:
     def headed(frames):
         yield pd.DataFrame({"value": [head]})
         yield from frames
 
-    tsv_rows(hits).mapInPandas(headed, "value string").write.mode("overwrite").text(path)
+    return rows.mapInPandas(headed, "value string")
+
+
+def tsv(hits: DataFrame, path: str) -> None:
+    """Text files, each with the header."""
+    _headed(tsv_rows(hits), "# " + "\t".join(shape(hits))).write.mode("overwrite").text(path)
 
 
 def json_rows(hits: DataFrame) -> DataFrame:
@@ -88,11 +90,36 @@ def merge_sam(spark, paths: list[str], out: str) -> None:
     spark.read.text([f"{p}/body" for p in paths]).write.mode("overwrite").text(f"{out}/body")
 
 
+def merge_tsv(spark, paths: list[str], out: str) -> None:
+    """Rows of several tables under one header. Raises ValueError where headers differ."""
+    lines = spark.read.text(paths)
+    heads = [r.value for r in lines.where(F.col("value").startswith("# ")).distinct().limit(2).collect()]
+    if len(heads) > 1:
+        raise ValueError("the tables have different headers")
+    _headed(lines.where(~F.col("value").startswith("# ")), heads[0]).write.mode("overwrite").text(out) if heads else lines.write.mode("overwrite").text(out)
+
+
+def merge_json(spark, paths: list[str], out: str) -> None:
+    """Objects of several files, a line for each query."""
+    spark.read.text(paths).write.mode("overwrite").text(out)
+
+
+def merge(spark, paths: list[str], out: str, kind: str = "tab") -> None:
+    check(kind)
+    {"tab": merge_tsv, "json": merge_json, "sam": merge_sam}[kind](spark, paths, out)
+
+
 WRITERS = {"tab": tsv, "json": json, "sam": sam}
 
 
-def write(hits: DataFrame, path: str, kind: str = "tab") -> None:
-    """BAM is SAM in a binary packing for which no library is at hand: ask for sam."""
+def check(kind: str, mode: int = 3, trace: bool = True) -> None:
+    """Whether a search of this mode can be written so, to be asked before it runs. BAM is SAM in a binary packing for which no library is at hand: ask for sam."""
     if kind not in WRITERS:
         raise ValueError(f"no format {kind!r}; there are {', '.join(WRITERS)}")
+    if kind == "sam" and (mode != 3 or not trace):
+        raise ValueError("SAM needs mode 3 with a traceback")
+
+
+def write(hits: DataFrame, path: str, kind: str = "tab") -> None:
+    check(kind, 3, kind != "sam" or "cigar" in hits.columns)
     WRITERS[kind](hits, path)

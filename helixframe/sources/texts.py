@@ -10,12 +10,20 @@ from helixframe.plans.search import columns
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, id, seq): records in file order, id the first word, sequence in upper case; lines from `;` are comments. Records without an id are left out."""
-    return parse_fasta(spark.read.option("lineSep", ">").text(path).select("value", F.col("_metadata.file_path").alias("file")).withColumn("ord", F.monotonically_increasing_id()))
+    """(ord, id, seq): records in file order, id the first word, sequence in upper case; lines from `;` are comments.
+
+    A record begins with a `>` at the start of a line; what stands before the first is left out, and so are records without an id.
+    """
+    read = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).withColumn("ord", F.monotonically_increasing_id())
+    heads = read.where("block = 0").groupBy("file").agg(F.min("ord").alias("head"))  # a row for each file
+    read = read.join(heads.withColumnRenamed("file", "of"), F.col("file") == F.col("of"), "left")
+    head = F.col("ord") == F.col("head")
+    read = read.where(~F.coalesce(head, F.lit(False)) | F.col("value").startswith(">"))
+    return parse_fasta(read.select("ord", F.when(head, F.substring("value", 2, 2**31 - 1)).otherwise(F.col("value")).alias("value")))
 
 
 def parse_fasta(records: DataFrame) -> DataFrame:
-    """records(ord, value: what stands between two `>`) -> (ord, id, seq)."""
+    """records(ord, value: what stands behind a header's `>` up to the next) -> (ord, id, seq)."""
     lines = F.split(F.regexp_replace("value", "\r", ""), "\n")
     ident = F.regexp_extract(lines[0], r"^\s*(\S+)", 1)
     body = F.filter(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: ~x.startswith(";"))
@@ -37,10 +45,10 @@ def numbered(records: DataFrame) -> DataFrame:
 
 
 def accession(ident: Column) -> Column:
-    """The accession of a sequence id, without version: of `gi|..|db|ACC.V|` the fourth part, else the first word."""
+    """The accession of a sequence id, up to its first point: of `gi|..|db|ACC.V|` the fourth part, else the first word."""
     first = F.regexp_extract(ident, r"^\s*>?(\S+)", 1)
     bar = F.regexp_extract(first, r"^gi\|[^|]*\|[^|]*\|([^|]+)", 1)
-    return F.regexp_replace(F.when(bar != "", bar).otherwise(first), r"\.[0-9]+$", "")
+    return F.regexp_replace(F.when(bar != "", bar).otherwise(first), r"\..*$", "")
 
 
 def fetched(spark: SparkSession, path: str) -> DataFrame:

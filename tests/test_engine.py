@@ -1,11 +1,13 @@
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions import alphabet, kmers, seeds, settings
 from helixframe.operators import align, index as ix, info, primers, queries as qs, retrieve, stages
-from helixframe.plans.search import SearchConfig, columns, search
+from helixframe.plans.primers import search_primers
+from helixframe.plans.search import SearchConfig, columns, notes, search, status
 from helixframe.sources import sinks, texts
 
 
@@ -196,9 +198,9 @@ def test_index_round_trip(spark, world, tmp_path):
     built = ix.build(sequences, 8, max_freq=2)
     assert built.counts.where("n > 2").count() == 0 and built.excluded.count() > 0
     assert built.postings.join(built.excluded, "kmer").count() == 0
-    ix.write(built, root, 4)
+    ix.write(built, root, 1000)
     back = ix.read(spark, root, 8)
-    assert back.meta == built.meta and back.postings.count() == built.postings.count()
+    assert replace(back.meta, bases=0) == built.meta and back.postings.count() == built.postings.count()
     assert sorted(map(tuple, back.sequences.collect())) == sorted(map(tuple, built.sequences.collect()))
     assert [tuple(r)[:3] for r in ix.discover(spark, root).collect()] == [(8, 0, "con")]
     small = ix.rewrite_without(ix.build(sequences, 8), 2)
@@ -208,6 +210,63 @@ def test_index_round_trip(spark, world, tmp_path):
     assert info.report(built).first().sequences == 10
 
 
+def test_written_postings_are_pruned(spark, world, tmp_path):
+    seqs, sequences, queries = world
+    root = str(tmp_path / "i")
+    ix.write(ix.build(sequences, 9), root, 500)
+    read = ix.read(spark, root, 9)
+    assert read.meta.bases == 2
+    one = spark.createDataFrame([(0,), (5,)], "kmer long")
+    near = ix.near(read, one)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bin" in plan.split("PartitionFilters")[1][:200]
+    files = lambda df: {r[0].rsplit("/", 1)[0][-6:] for r in df.select(F.input_file_name()).distinct().collect()}
+    assert len(files(near)) <= 1 < len(files(read.postings.drop("bin")))
+    for f in read.postings.inputFiles():  # each file by k-mer, then sequence and place
+        rows = [tuple(r) for r in spark.read.parquet(f).select("kmer", "volume", "oid", "s_pos").collect()]
+        assert rows == sorted(rows)
+    ix.write(ix.build(sequences, 8), root)
+    with pytest.raises(ValueError, match="another collection"):
+        ix.write(ix.build(sequences.where("oid > 2"), 7), root)
+    sizes = {r.part: r for r in info.sizes(spark, root, 9).collect()}
+    assert sizes["postings"].share > 0 and sizes["sequences"].bytes > 0 and info.described(spark, root).count() == 2
+
+
+def test_repeated_queries_count_once(spark, world):
+    seqs, sequences, queries = world
+    index = ix.build(sequences, 8)
+    twice = spark.createDataFrame([("q", seqs[0][200:300], 1), ("q", seqs[1][50:150], 2)], "qseqid string, seq string, ord long")
+    hits = search([index], twice, SearchConfig(max_freq=1.0)).collect()
+    assert [r.sseqid for r in hits] == ["ACC001"]
+    greatest = max(seqs[0][200:300], seqs[1][50:150])
+    assert [r.sseqid for r in search([index], twice.drop("ord"), SearchConfig(max_freq=1.0)).where("sstrand = '+'").collect()] == ["ACC000" if greatest == seqs[0][200:300] else "ACC001"]
+
+
+def test_primer_search(spark, world):
+    seqs, sequences, _ = world
+    turn = str.maketrans("ACGT", "TGCA")
+    p = spark.createDataFrame([(0, "f", seqs[2][100:120]), (1, "r", seqs[2][180:200].translate(turn)[::-1])], "ord long, id string, seq string")
+    index = ix.build(sequences, 8)
+    config = SearchConfig(max_freq=1.0, strand=1, expand=1)
+    hits = search_primers([index], p, 60, config=config).collect()
+    assert [(r.qseqid, r.sseqid, r.sstart, r.send) for r in hits] == [("f__+__r", "ACC002", 100, 200)]
+    assert len(search_primers([index], p, 60, score=1.0, config=config).collect()) == 1
+    assert search_primers([index], p, 60, score=1.0, config=replace(config, min_score=0.9)).count() == 1
+    with pytest.raises(ValueError):
+        search_primers([index], p, 60, score=99, config=config)
+
+
+def test_notes_and_status(spark, world):
+    _, sequences, queries = world
+    q = queries.union(spark.createDataFrame([("bad", "ACGTNNNNNNNNACGTACGT")], queries.schema))
+    listed = spark.createDataFrame([("ACC001",), ("X",)], "accession string")
+    index = ix.build(sequences, 8)
+    strict = SearchConfig(accept_degenerate=False)
+    assert {tuple(r) for r in notes([index], q, strict, listed).collect()} == {("skipped", "bad"), ("unknown", "X")}
+    assert {tuple(r) for r in notes([index], q).collect()} == {("windows", "bad")}
+    assert (status(q), status(q, strict), status(q.limit(0))) == (0, 2, 1)
+
+
 def test_thresholds(spark):
     qk = spark.createDataFrame([("q", "+", p, k) for p, k in ((0, 1), (1, 2), (1, 3), (2, 4), (3, 4))], "qseqid string, strand string, q_pos int, kmer long")
     high = spark.createDataFrame([(2,), (4,)], "kmer long")
@@ -219,12 +278,41 @@ def test_thresholds(spark):
 def test_overlaps_are_resolved():
     seq = "".join(random.Random(9).choices("ACGT", k=300))
     q = seq[100:150]
-    base = {"_q": q, "_s": seq, "_n": 300, "_first": 50, "qstart": 0, "qend": 49, "npositive": 1, "nnegative": 0, "ppositive": 1.0, "cigar": "", "qseq": "", "sseq": "", "alnscore": 1}
+    base = {"_q": q, "_part": seq[50:271], "_first": 50, "_last": 270, "qstart": 0, "qend": 49, "npositive": 1, "nnegative": 0, "ppositive": 1.0, "cigar": "", "qseq": "", "sseq": "", "alnscore": 1}
     rows = [base | {"sstart": 80, "send": 170, "chainscore": 9}, base | {"sstart": 120, "send": 220, "chainscore": 3}]
-    out = align.resolve_group(rows, False, 50, True, 100, {})
+    out = align.resolve_group(rows, True, {})
     assert out[0]["chainscore"] == 9 and all(r["sstart"] > 170 for r in out[1:])
     rows = [base | {"sstart": 80, "send": 170, "chainscore": 9}, base | {"sstart": 90, "send": 160, "chainscore": 3}]
-    assert len(align.resolve_group(rows, False, 50, False, 100, {})) == 1
+    assert len(align.resolve_group(rows, False, {})) == 1
+
+
+def test_room_beside_what_is_taken():
+    rng = random.Random(10)
+    assert align.room(10, 20, (0, 99), []) == (10, 20) and align.room(10, 20, (0, 99), [(20, 30)]) == (0, 19)
+    assert align.room(10, 20, (0, 99), [(2, 5), (18, 30)]) == (6, 17) and align.room(10, 40, (0, 99), [(2, 15), (60, 70)]) == (16, 59)
+    assert align.room(10, 20, (0, 99), [(10, 15)]) is None and align.room(10, 20, (0, 99), [(5, 25)]) is None
+    for _ in range(300):  # whatever is taken, no two hits meet in the end
+        rows = [{"sstart": a, "send": a + rng.randrange(5, 40), "chainscore": rng.randrange(5), "_q": "ACGT" * 5, "_part": "ACGT" * 60, "_first": 0, "_last": 239, "alnscore": 0, "qend": 0} for a in rng.sample(range(150), 6)]
+        out = align.resolve_group(rows, False, {})
+        assert out and all(x["send"] < y["sstart"] for x, y in zip(out, out[1:])) and max(r["chainscore"] for r in rows) in [r["chainscore"] for r in out]
+
+
+def test_traceback_in_parts(monkeypatch):
+    rng = random.Random(11)
+    for _ in range(40):
+        q, s = ("".join(rng.choices("ACGT", k=rng.randint(5, 60))) for _ in range(2))
+        s += q[: rng.randrange(60)] + "ACGGT" + q[rng.randrange(60) :]
+        whole = align.align(q, s, 4, 1)
+        monkeypatch.setattr(align, "CELLS", 1)
+        assert align.align(q, s, 4, 1) == whole
+        monkeypatch.undo()
+
+
+def test_matrices():
+    at = align.LETTERS.index
+    for m in align.MATRICES.values():
+        assert (m == m.T).all()
+    assert [align.NUC44[at(a), at(b)] for a, b in ("AA", "AT", "SS", "RR", "NN", "NA", "NS", "SW", "RY", "BV")] == [5, -4, -1, -1, -1, -2, -1, -4, -4, -2]
 
 
 def test_primers(spark):
@@ -254,6 +342,43 @@ def test_retrieve(spark):
     assert any(u.endswith("id=A&seq_start=96&seq_stop=206&api_key=K") for u in urls) and any(u.endswith("id=B&api_key=K") for u in urls)
 
 
+def test_remote_batches_are_full(spark):
+    rows = [("q", f"ACC{i}", 5, 10, 100) for i in range(250)]
+    h = spark.createDataFrame(rows, "qseqid string, sseqid string, sstart int, send int, qlen int")
+    plan = retrieve.remote_plan(h)
+    assert sorted(len(r.accessions) for r in plan.collect()) == [50, 100, 100]
+    assert sorted(a for r in plan.collect() for a in r.accessions) == sorted(r[1] for r in rows)
+    assert retrieve.remote_context(h, "0.25") == 25 and retrieve.remote_context(h, "7") == 7
+
+
+def test_fetching_again(spark, tmp_path):
+    plan = spark.createDataFrame([("fine",), ("busy",), ("gone",), ("down",)], "url string")
+    seen = str(tmp_path)
+
+    def get(url, timeout):
+        import pathlib
+
+        n = len(list(pathlib.Path(seen).glob(f"{url}*")))
+        pathlib.Path(seen, f"{url}{n}").write_text("")
+        if url == "down":
+            raise OSError("no route")
+        return {"fine": (200, ">gi|1|gb|ACC1.2| x\nAC\nGT\n>ACC2.1.3\nGG"), "busy": (200 if n == 2 else 503, ">B\nA"), "gone": (404, "")}[url]
+
+    got = retrieve.fetch(plan, get, 3, 0.01).persist()
+    by = {r.url: r for r in got.collect()}
+    assert by["busy"].body and by["gone"].error == "status 404" and by["down"].error == "no route"
+    count = lambda url: len(list(tmp_path.glob(f"{url}*")))
+    assert [count(u) for u in ("fine", "busy", "gone", "down")] == [1, 3, 1, 4]
+    assert sorted((r.accession, r.seq) for r in retrieve.records(got).collect()) == [("ACC1", "ACGT"), ("ACC2", "GG"), ("B", "A")]
+
+
+def test_fasta_headers_stand_at_line_starts(spark, tmp_path):
+    (tmp_path / "b.fa").write_text("; top comment\nACGT\n>q1 len>5 x\nACGT\n>q2\nGG")
+    (tmp_path / "c.fa").write_text(">q3\nAA>\nC\n")
+    got = {(r.id, r.seq) for r in texts.fasta(spark, [str(tmp_path / "b.fa"), str(tmp_path / "c.fa")]).collect()}
+    assert got == {("q1", "ACGT"), ("q2", "GG"), ("q3", "AA>C")}
+
+
 def test_texts(spark, tmp_path):
     (tmp_path / "a.fa").write_text(">s1 first\r\nacgt\r\n;note\r\nAC\r\n>\nACGT\n>gi|12|gb|ACC001.1| x\nGG\n")
     got = texts.numbered(texts.fasta(spark, str(tmp_path / "a.fa"))).collect()
@@ -286,6 +411,16 @@ def test_hit_tables(spark, world, tmp_path):
     body = [r.value.split("\t") for r in spark.read.text(str(tmp_path / "m/body")).collect()]
     assert len(head) == 5 and head[1] == "@SQ\tSN:ACC000\tLN:600" and len(body) == 6
     assert {(r[1], r[2], r[3]) for r in body} == {("0", "ACC000", "201"), ("0", "ACC001", "51"), ("16", "ACC005", "101")}
+    sinks.merge(spark, [str(tmp_path / "t"), str(tmp_path / "t")], str(tmp_path / "tt"))
+    assert pick(texts.hits(spark, str(tmp_path / "tt"))) == sorted(2 * pick(found))
+    sinks.merge(spark, [str(tmp_path / "j"), str(tmp_path / "j")], str(tmp_path / "jj"), "json")
+    assert spark.read.json(str(tmp_path / "jj")).count() == 4
+    sinks.write(found.select(*columns(2)), str(tmp_path / "two"))
+    with pytest.raises(ValueError, match="headers"):
+        sinks.merge(spark, [str(tmp_path / "t"), str(tmp_path / "two")], str(tmp_path / "x"))
+    for how in (("bam",), ("sam", 2), ("sam", 3, False)):
+        with pytest.raises(ValueError):
+            sinks.check(*how)
     with pytest.raises(ValueError):
         sinks.write(found, str(tmp_path / "x"), "bam")
     (tmp_path / "old").write_text("query1\tACC001\t+\t0\t49\t500\t100\t149\t2000\t5\t15\t0\nbad\tline\nq\tA\t+\tx\t49\t500\t100\t149\t2000\t5\t15\t0\n")
@@ -302,9 +437,15 @@ def test_stream_resumes(spark, world, tmp_path):
     resume.stream(spark, source, [built], out, at, SearchConfig(mode=1, max_freq=1.0)).awaitTermination()
     assert resume.results(spark, out).select("qseqid").distinct().count() == 1
     queries.where("qseqid = 'q1'").coalesce(1).write.mode("append").parquet(source)
-    assert [r.qseqid for r in resume.remaining(queries, resume.results(spark, out)).collect()] == ["q1"]
+    assert [r.qseqid for r in resume.remaining(queries, resume.done(spark, out)).collect()] == ["q1"]
     resume.stream(spark, source, [built], out, at, SearchConfig(mode=1, max_freq=1.0)).awaitTermination()
     assert resume.results(spark, out).count() == 3
+    with pytest.raises(ValueError, match="begun with"):
+        resume.stream(spark, source, [built], out, at, SearchConfig(mode=1, max_freq=0.9))
+    nothing = spark.createDataFrame([("q9", "ACGT")], "qseqid string, seq string")
+    nothing.coalesce(1).write.mode("append").parquet(source)
+    resume.stream(spark, source, [built], out, at, SearchConfig(mode=1, max_freq=1.0)).awaitTermination()
+    assert sorted(r.qseqid for r in resume.done(spark, out).collect()) == ["q0", "q1", "q9"]  # searched without a hit
     assert resume.signature(SearchConfig(), queries) != resume.signature(SearchConfig(mode=1), queries)
 
 
@@ -337,7 +478,7 @@ def test_requests(spark, world, tmp_path):
     from helixframe.plans import requests
 
     seqs, sequences, _ = world
-    ix.write(ix.build(sequences, 9), str(tmp_path), 2)
+    ix.write(ix.build(sequences, 9), str(tmp_path))
     ask = {"k": 9, "mode": 1, "stage1_max_freq_frac_x10000": 10_000, "strand": 1, "queries": [{"qseqid": "q0", "sequence": seqs[0][200:300]}]}
     roots = {"db": str(tmp_path)}
     assert [r.sseqid for r in requests.answer(spark, roots, json.dumps(ask)).collect()] == ["ACC000"]

@@ -10,7 +10,8 @@ kept apart.
 The fit takes PER_LANGUAGE documents of each of the MAX_LANGUAGES most frequent languages, and at
 most SAMPLE in all, by a hash of their ids: those below a bound that about twice
 as many of a language reach, of them the first. They are found without reading
-texts, and their ids are broadcast. Document frequencies are those of this sample. As the values are linear in the words, a
+texts, and their ids are broadcast. Document frequencies are counted over all
+learnable rows, added up in each task before they are shuffled. As the values are linear in the words, a
 text's logits are the mean of its words' sums; a task keeps those of up to
 CACHE words and works each new word out once.
 """
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -98,16 +100,15 @@ class Model:
         return z / z.sum(axis=1, keepdims=True)
 
 
-def fit(rows: pd.DataFrame, seed: int = 1) -> Model:
-    """rows: lang, index and n (the features of a text and how often each comes), apart (kept for the temperature)."""
+def fit(rows: pd.DataFrame, idf: np.ndarray, seed: int = 1) -> Model:
+    """rows: lang, index and n (the features of a text and how often each comes), apart (kept for the temperature); idf: a number for each bucket."""
     languages = sorted(rows["lang"].unique())
     y = rows["lang"].map({v: i for i, v in enumerate(languages)}).to_numpy()
     index = [np.asarray(x, np.int64) for x in rows["index"]]
     share = [100 * np.asarray(x, float) / sum(x) for x in rows["n"]]
-    seen = np.zeros(BUCKETS)
+    seen = np.zeros(BUCKETS, bool)
     for x in index:
-        seen[x] += 1
-    idf = np.log((1 + len(rows)) / (1 + seen)) + 1
+        seen[x] = True
     value = [s * idf[x] for s, x in zip(share, index, strict=True)]
     apart = rows["apart"].to_numpy(bool)
     shape = (BUCKETS, len(languages))
@@ -143,7 +144,7 @@ def fit(rows: pd.DataFrame, seed: int = 1) -> Model:
             return float(np.mean(top + np.log(np.exp(a - top[:, None]).sum(axis=1)) - (target * a).sum(axis=1)))
 
         temperature = min(np.exp(np.linspace(-4, 2, 121)), key=loss)
-    return Model(languages, 100 * w * idf[:, None], b, float(temperature), seen > 0)
+    return Model(languages, 100 * w * idf[:, None], b, float(temperature), seen)
 
 
 def _features(frames):
@@ -156,6 +157,39 @@ def _features(frames):
         yield pd.DataFrame({"doc_id": f["doc_id"], "lang": f["lang"], "apart": f["apart"], "index": [a for a, _ in out], "n": [b for _, b in out]})
 
 
+def _frequencies(batches):
+    """(bucket, n): in how many texts of the task a bucket comes; bucket -1: how many texts have letters."""
+    total, here, cache = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS, bool), {}
+    for batch in batches:
+        for text in batch.column(0):  # one text at a time becomes a string
+            words = list(dict.fromkeys(letters(text.as_py())))
+            if not words:
+                continue
+            if len(cache) > CACHE:
+                cache = {}
+            fresh = [w for w in words if w not in cache]
+            if fresh:
+                index, owner = grams(fresh)
+                order = np.argsort(owner, kind="stable")
+                cuts = np.searchsorted(owner[order], np.arange(1, len(fresh)))
+                cache.update(zip(fresh, np.split(index[order].astype(np.int32), cuts), strict=True))
+            here[np.concatenate([cache[w] for w in words])] = True
+            at = np.flatnonzero(here)
+            total[at] += 1
+            total[-1] += 1
+            here[at] = False
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(np.where(at < BUCKETS, at, -1).astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
+
+
+def inverse_frequencies(docs: DataFrame) -> np.ndarray:
+    """For each bucket the inverse document frequency over all docs(text) that have letters."""
+    counts = docs.select("text").mapInArrow(_frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS + 1 rows
+    found = np.zeros(BUCKETS + 1)
+    found[counts["bucket"].to_numpy()] = counts["n"].to_numpy()  # -1 is the last
+    return np.log((1 + found[-1]) / (1 + found[:-1])) + 1
+
+
 def train(docs: DataFrame, learnable, per_language: int = PER_LANGUAGE) -> Model | None:
     """Fit on docs(doc_id, text, lang) where learnable (a condition); None if no such row has letters and a language."""
     known = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
@@ -172,7 +206,7 @@ def train(docs: DataFrame, learnable, per_language: int = PER_LANGUAGE) -> Model
     rows = known.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "lang", "apart").agg(F.min("text").alias("text"))  # repeated rows come once
     rows = rows.mapInPandas(_features, "doc_id long, lang string, apart boolean, index array<int>, n array<int>").toPandas()
     rows = rows[rows["n"].map(len) > 0].sort_values(["doc_id", "lang"], kind="stable").reset_index(drop=True)  # alike at any number of partitions
-    return fit(rows) if len(rows) else None
+    return fit(rows, inverse_frequencies(known)) if len(rows) else None
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

@@ -357,6 +357,20 @@ def test_language(spark, nothing):
     assert {r.lang_pred for r in blind.collect()} == {"und"}
 
 
+def test_document_frequencies_cover_all_rows(spark, nothing, monkeypatch):
+    texts = [None, "", "12 ...", "ab c ab", "c", "C d", "été", "ab c ab", " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300))]
+    found, n = np.zeros(op08_langid.BUCKETS), 0
+    for text in texts:
+        words = op08_langid.letters(text)
+        n += bool(words)
+        for bucket in set(op08_langid.grams(words)[0].tolist()) if words else ():
+            found[bucket] += 1
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    monkeypatch.setattr(op08_langid, "CACHE", 2)  # words are worked out again and again
+    assert np.allclose(op08_langid.inverse_frequencies(df), np.log((1 + n) / (1 + found)) + 1)
+    assert set(op08_langid.inverse_frequencies(nothing)) == {1.0}
+
+
 def test_grams_are_of_one_word_each():
     index, owner = op08_langid.grams(["ab", "c"])
     # "ab": a b | ' a' 'ab' 'b ' | ' ab' 'ab ' | ' ab '; "c": c | ' c' 'c ' | ' c '

@@ -67,6 +67,20 @@ def ids(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
 
 
+def text_ids() -> Column:
+    """doc_id; for a null one a hash of the text, so that different texts are different documents.
+
+    These hashes are below -2**62 and so sort before doc_ids, which are expected above.
+    """
+    own = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(2**62 - 1))
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID) + own)
+
+
+def doc_id_of(column: Column) -> Column:
+    """The doc_id that a value of text_ids() stands for."""
+    return F.when(column >= -(2**62), column)
+
+
 def real_id(column: Column) -> Column:
     return F.when(column != NULL_ID, column)
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import SPACES, ids, real_id, save, table
+from helixframe.llm.common import SPACES, doc_id_of, save, table, text_ids
 from helixframe.llm.graph import components
 from helixframe.llm.textkernel import U64, Block, blocks, longs, mix, signed, window_hashes
 
@@ -214,12 +214,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs(doc_id, text) -> one row per input row: doc_id, n_shingles, component_id, kept.
 
     Null or blank texts have no shingles and link with nothing. Rows that repeat
-    a doc_id, and all rows whose doc_id is null, count as one document of one of
-    their texts for links to others; a null doc_id sorts first, has a null
-    component_id and is kept. An empty table gives an empty table. Other columns
-    are ignored.
+    a doc_id count as one document of one of their texts for links to others.
+    Texts without a doc_id are documents of their own, equal ones the same; they
+    sort before all others, by a hash of the text: a group that holds one has a
+    null component_id, and the first of them is kept. An empty table gives an
+    empty table. Other columns are ignored.
     """
-    docs = docs.select(ids().alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    return grouped(docs, percent).select(doc_id_of(F.col("id")).alias("doc_id"), "n_shingles", doc_id_of(F.col("component")).alias("component_id"), "kept")
+
+
+def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """near_duplicates with id and component as text_ids() gives them: id, n_shingles, component, kept."""
+    docs = docs.select(text_ids().alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     all_docs = save(docs.mapInArrow(_sketches, _SKETCH), "sketches")
     sets = ["n", "s1", "s2"]
     classes = save(all_docs.where("n > 0").groupBy(*sets).agg(F.min("id").alias("rep")), "classes")
@@ -246,12 +252,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     out = all_docs.select("id", *sets).join(classes, sets, "left").withColumn("rep", F.coalesce("rep", "id"))
     out = out.join(parts.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    return out.select(
-        real_id(F.col("id")).alias("doc_id"),
-        F.col("n").alias("n_shingles"),
-        real_id(F.col("component")).alias("component_id"),
-        (F.col("id") == F.col("component")).alias("kept"),
-    )
+    return out.select("id", F.col("n").alias("n_shingles"), "component", (F.col("id") == F.col("component")).alias("kept"))
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

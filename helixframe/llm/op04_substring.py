@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import SPACES, ids, real_id, save, table
+from helixframe.llm.common import SPACES, doc_id_of, save, table, text_ids
 from helixframe.llm.textkernel import U64, blocks, longs, mix, signed, window_hashes
 
 WINDOW = 20
@@ -203,17 +203,17 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     A word goes if a window of `window` consecutive words over it also starts
     earlier: in a smaller doc_id, or earlier in the same document. Null and empty
-    texts have no words; texts shorter than the window lose none. A null doc_id
-    sorts first. Rows that repeat a doc_id are judged as that one document: a
+    texts have no words; texts shorter than the window lose none. Texts without a
+    doc_id sort before all others, by a hash of the text, each a document of its own. Rows that repeat a doc_id are judged as that one document: a
     window at the same place of such rows is not earlier than itself, and what
     goes at a place goes from all of them. An empty table gives an empty table.
     Other columns are ignored.
     """
-    docs = docs.select(ids().alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(text_ids().alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     marked = docs.join(copies(docs), "id", "left").select("id", "text", F.coalesce(F.array_contains("copied", F.xxhash64("text")), F.lit(False)).alias("copy"))
     gone = repeated_places(marked, window)
     out = marked.join(gone, "id", "left").select("id", "text", "at", "copy").mapInArrow(_removed(window), "id long, n_words long, n_removed long, text string")
-    return out.select(real_id(F.col("id")).alias("doc_id"), "n_words", "n_removed", "text")
+    return out.select(doc_id_of(F.col("id")).alias("doc_id"), "n_words", "n_removed", "text")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,6 +76,19 @@ def test_near_duplicates(docs, nothing):
     assert op01_minhash.near_duplicates(nothing).count() == 0
 
 
+def test_texts_without_doc_ids_are_documents(spark):
+    rng = random.Random(8)
+    a, b, c = (text_of(rng, 60, 10**6) for _ in range(3))
+    rows = [(None, a), (None, a + " tail"), (None, b), (None, b), (None, None), (3, a + " more"), (5, b), (6, c), (7, c)]
+    got = sorted((str(r.doc_id), r.n_shingles, r.kept, r.component_id) for r in op01_minhash.near_duplicates(spark.createDataFrame(make(rows), SCHEMA)).collect())
+    assert [x for x in got if x[0] != "None"] == [("3", 57, False, None), ("5", 56, False, None), ("6", 56, True, 6), ("7", 56, False, 6)]
+    none = [x[1:3] for x in got if x[0] == "None"]
+    assert len(none) == 5 and none.count((56, True)) >= 2 and (0, True) in none
+    assert sum(k for n, k in none if n) == 3 and {n for n, k in none if not k} <= {56, 57}  # one of a's two, and both rows of b
+    lost = {r.text: r.n_removed for r in op04_substring.substring_dedup(spark.createDataFrame(make([(None, a + " " + c), (None, b), (1, c + " " + b)]), SCHEMA)).collect()}
+    assert lost == {a + " " + c: 0, b: 0, "": 120}
+
+
 def test_groups_that_are_not_similar_enough_stay_apart(spark):
     rng = random.Random(2)
     common = text_of(rng, 60, 10**6)

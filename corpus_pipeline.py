@@ -7,12 +7,12 @@ through all stages.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import op08_langid
-from helixframe.llm.common import alone, drop, ids, table
-from helixframe.llm.op01_minhash import near_duplicates
+from helixframe.llm.common import alone, drop, ids, table, text_ids
+from helixframe.llm.op01_minhash import grouped
 from helixframe.llm.op02_decontam import contaminated_texts
 from helixframe.llm.op07_mixing import default_weights, domain_of, mix
 from helixframe.llm.op10_sharding import ring_shards
@@ -21,9 +21,9 @@ from helixframe.llm.op10_sharding import ring_shards
 MIN_KNOWN = 0.5
 
 
-def _packed(docs: DataFrame) -> DataFrame:
+def _packed(docs: DataFrame, id: Column | None = None) -> DataFrame:
     """Whole rows beside what stages join by, so that no column of theirs can clash."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), ids().alias("id"), F.xxhash64("text").alias("sum"))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), (ids() if id is None else id).alias("id"), F.xxhash64("text").alias("sum"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +39,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near duplicates, once; documents without words are no group."""
-    gone = near_duplicates(docs).where("not kept").select(ids().alias("id")).distinct()
-    kept = _packed(docs).join(gone, "id", "left_anti")
+    """Keeps the smallest doc_id of each group of near duplicates, once; documents without words are no group. Texts without a doc_id come before all others."""
+    gone = grouped(docs).where("not kept").select("id").distinct()
+    kept = _packed(docs, text_ids()).join(gone, "id", "left_anti")
     # a repeated row has the same doc_id and text; rows are together by id already
     return kept.dropDuplicates(["id", "sum"]).select("row.*")
 

@@ -57,6 +57,16 @@ def test_language_stage_drops_other_languages(spark, tmp_path):
     assert got == {r[0] for r in rows}
 
 
+def test_near_dedup_of_texts_without_doc_ids(spark, tmp_path):
+    rng = random.Random(6)
+    a, b = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(2))
+    rows = [(i, t, "aa", "src1", 9, "r", "i", "s", 3) for i, t in [(None, a), (None, a + " tail"), (None, a), (None, b), (None, None), (3, a), (4, b + " tail")]]
+    out = make(spark, tmp_path, rows, [])
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, spark.read.parquet(f"{out}/documents.parquet"), out).collect()]
+    assert {i for i, _ in got} == {None} and len(got) == 3
+    assert {t for _, t in got} in ({a, b, None}, {a + " tail", b, None})
+
+
 def test_decontamination_decides_by_row(spark, tmp_path):
     rng = random.Random(2)
     text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))

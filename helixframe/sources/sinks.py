@@ -1,4 +1,4 @@
-"""Writers of hits: tab-separated, JSON grouped by query, SAM."""
+"""Writers of hits: tab-separated, JSON grouped by query, SAM, BAM."""
 
 from __future__ import annotations
 
@@ -105,21 +105,30 @@ def merge_json(spark, paths: list[str], out: str) -> None:
 
 
 def merge(spark, paths: list[str], out: str, kind: str = "tab") -> None:
+    if kind == "bam":
+        raise ValueError("merge SAM files, or write the hits of all as one BAM file")
     check(kind)
     {"tab": merge_tsv, "json": merge_json, "sam": merge_sam}[kind](spark, paths, out)
 
 
-WRITERS = {"tab": tsv, "json": json, "sam": sam}
+def bam(hits: DataFrame, path: str) -> None:
+    """path/alignments.bam."""
+    from helixframe.sources import bam as packed
+
+    packed.write(hits, path)
+
+
+WRITERS = {"tab": tsv, "json": json, "sam": sam, "bam": bam}
 
 
 def check(kind: str, mode: int = 3, trace: bool = True) -> None:
-    """Whether a search of this mode can be written so, to be asked before it runs. BAM is SAM in a binary packing for which no library is at hand: ask for sam."""
+    """Whether a search of this mode can be written so, to be asked before it runs."""
     if kind not in WRITERS:
         raise ValueError(f"no format {kind!r}; there are {', '.join(WRITERS)}")
-    if kind == "sam" and (mode != 3 or not trace):
-        raise ValueError("SAM needs mode 3 with a traceback")
+    if kind in ("sam", "bam") and (mode != 3 or not trace):
+        raise ValueError(f"{kind.upper()} needs mode 3 with a traceback")
 
 
 def write(hits: DataFrame, path: str, kind: str = "tab") -> None:
-    check(kind, 3, kind != "sam" or "cigar" in hits.columns)
+    check(kind, 3, "cigar" in hits.columns)
     WRITERS[kind](hits, path)

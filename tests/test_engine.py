@@ -8,7 +8,7 @@ from helixframe.functions import alphabet, kmers, seeds, settings
 from helixframe.operators import align, index as ix, info, primers, queries as qs, retrieve, stages
 from helixframe.plans.primers import search_primers
 from helixframe.plans.search import SearchConfig, columns, notes, search, status
-from helixframe.sources import sinks, texts
+from helixframe.sources import bam, sinks, texts
 
 
 def scan(seq, k, expand=0):
@@ -418,15 +418,92 @@ def test_hit_tables(spark, world, tmp_path):
     sinks.write(found.select(*columns(2)), str(tmp_path / "two"))
     with pytest.raises(ValueError, match="headers"):
         sinks.merge(spark, [str(tmp_path / "t"), str(tmp_path / "two")], str(tmp_path / "x"))
-    for how in (("bam",), ("sam", 2), ("sam", 3, False)):
+    for how in (("cram",), ("sam", 2), ("sam", 3, False), ("bam", 2), ("bam", 3, False)):
         with pytest.raises(ValueError):
             sinks.check(*how)
     with pytest.raises(ValueError):
-        sinks.write(found, str(tmp_path / "x"), "bam")
+        sinks.write(found, str(tmp_path / "x"), "cram")
     (tmp_path / "old").write_text("query1\tACC001\t+\t0\t49\t500\t100\t149\t2000\t5\t15\t0\nbad\tline\nq\tA\t+\tx\t49\t500\t100\t149\t2000\t5\t15\t0\n")
     assert [(r.sseqid, r.chainscore) for r in texts.hits(spark, str(tmp_path / "old")).collect()] == [("ACC001", 15)]
 
 
+def unpacked(data):
+    """(header text, references, records as SAM lines) of a BAM file."""
+    import gzip
+    import struct
+
+    assert data.endswith(bam.END)
+    data = gzip.decompress(data)
+    take = lambda form, at: struct.unpack_from(f"<{form}", data, at)
+    assert data[:4] == b"BAM\1"
+    at = 8 + take("I", 4)[0]
+    text, n, refs, lines = data[8:at].decode(), take("I", at)[0], [], []
+    at += 4
+    for _ in range(n):
+        size = take("I", at)[0]
+        refs.append((data[at + 4 : at + 3 + size].decode(), take("I", at + 4 + size)[0]))
+        at += size + 8
+    while at < len(data):
+        size, ref, start, label, quality, _, steps, flag, bases, mate, place, length = take("I2i2B3HI3i", at)
+        end, at = at + 4 + size, at + 36
+        name, at = data[at : at + label - 1].decode(), at + label
+        cigar = "".join(f"{x >> 4}{bam.OPERATIONS[x & 15]}" for x in take(f"{steps}I", at))
+        at += 4 * steps
+        letters = "".join(bam.BASES[b >> 4] + bam.BASES[b & 15] for b in data[at : at + (bases + 1) // 2])[:bases]
+        at += (bases + 1) // 2
+        assert data[at : at + bases] == b"\xff" * bases and (mate, place, length) == (-1, -1, 0)
+        at += bases
+        tags = []
+        while at < end and data[at + 2 : at + 3] == b"i":
+            tags.append(f"{data[at : at + 2].decode()}:i:{take('i', at + 3)[0]}")
+            at += 7
+        if at < end:
+            assert data[at : at + 4] == b"CGBI"
+            cigar = "".join(f"{x >> 4}{bam.OPERATIONS[x & 15]}" for x in take(f"{take('I', at + 4)[0]}I", at + 8))
+            at = end
+        assert at == end
+        lines.append("\t".join([name, str(flag), refs[ref][0], str(start + 1), str(quality), cigar, "*", "0", "0", letters, "*", *tags]))
+    return text, refs, lines
+
+
+def test_bam(spark, world, tmp_path):
+    _, sequences, queries = world
+    found = search([ix.build(sequences, 9)], queries, SearchConfig(mode=3, max_freq=1.0, trace=True, context="0"))
+    sinks.write(found, str(tmp_path / "b"), "bam")
+    text, refs, lines = unpacked((tmp_path / "b/alignments.bam").read_bytes())
+    assert text == "".join(r.value + "\n" for r in sinks.sam_header(found).orderBy("part", "name").collect())
+    assert refs == [("ACC000", 600), ("ACC001", 600), ("ACC005", 600)]
+    assert sorted(lines) == sorted(r.value for r in sinks.sam_rows(found).collect()) and len(lines) == 3
+    assert [p.name for p in (tmp_path / "b").iterdir() if not p.name.startswith(".")] == ["alignments.bam"]
+    many = found.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(4000)))).withColumn("sseqid", F.concat("sseqid", F.lit("_"), F.col("n")))
+    sinks.write(many, str(tmp_path / "b"), "bam")
+    text, refs, lines = unpacked((tmp_path / "b/alignments.bam").read_bytes())
+    assert len(refs) == 12000 and refs == sorted(refs) and text.count("@SQ") == 12000
+    assert sorted(lines) == sorted(r.value for r in sinks.sam_rows(many).collect())
+    sinks.write(found.where("false"), str(tmp_path / "none"), "bam")
+    assert unpacked((tmp_path / "none/alignments.bam").read_bytes())[1:] == ([], [])
+    with pytest.raises(ValueError, match="traceback"):
+        bam.write(found.drop("cigar"), str(tmp_path / "x"))
+
+
+def test_bam_records():
+    assert [bam.interval_bin(*x) for x in ((0, 1), (0, 16384), (16383, 16385), (0, 1 << 20), (1 << 26, (1 << 26) + 1), (0, 1 << 29))] == [4681, 4681, 585, 73, 8777, 0]
+    random.seed(3)
+    noise = random.randbytes(200000)
+    import gzip
+
+    assert gzip.decompress(bam.blocks(noise)) == noise and bam.blocks(b"") == b""
+    cigar = "1M1I" * 40000 + "7M"
+    one = bam.record("q", 0, 5, True, cigar, "ACGTN" * 16001 + "RY", {"AS": -3})
+    text = b"@HD\n"
+    import struct
+
+    data = b"BAM\1" + struct.pack("<I", len(text)) + text + struct.pack("<II", 1, 2) + b"s\0" + struct.pack("<I", 90000) + one
+    assert unpacked(bam.blocks(data) + bam.END)[2] == ["\t".join(["q", "16", "s", "6", "255", cigar, "*", "0", "0", "ACGTN" * 16001 + "RY", "*", "AS:i:-3"])]
+    with pytest.raises(ValueError, match="name"):
+        bam.record("q" * 255, 0, 0, False, "1M", "A", {})
+
+
 def test_stream_resumes(spark, world, tmp_path):
     from helixframe.streaming import resume
 

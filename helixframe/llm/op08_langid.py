@@ -10,7 +10,7 @@ kept apart.
 The fit takes PER_LANGUAGE documents of each of the MAX_LANGUAGES most frequent languages, and at
 most SAMPLE in all, by a hash of their ids: those below a bound that about twice
 as many of a language reach, of them the first. They are found without reading
-texts, and their ids are broadcast. Document frequencies are counted over all
+texts, and their ids are broadcast; one task fits them, and only the model comes to the driver. Document frequencies are counted over all
 learnable rows, added up in each task before they are shuffled. As the values are linear in the words, a
 text's logits are the mean of its words' sums; a task keeps those of up to
 CACHE words and works each new word out once.
@@ -18,6 +18,7 @@ CACHE words and works each new word out once.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -33,6 +34,8 @@ BUCKETS, LONGEST = 1 << 16, 4
 PER_LANGUAGE, MAX_LANGUAGES, SAMPLE = 400, 500, 20_000
 EPOCHS, ALPHA, BETA, L1, L2 = 5, 0.2, 1.0, 0.02, 1e-4
 CACHE = 200_000
+#: Bytes of a row in which a part of a model goes to the driver.
+PART = 1 << 24
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -157,6 +160,21 @@ def _features(frames):
         yield pd.DataFrame({"doc_id": f["doc_id"], "lang": f["lang"], "apart": f["apart"], "index": [a for a, _ in out], "n": [b for _, b in out]})
 
 
+def _fitted(idf: np.ndarray):
+    """Fits in a task, so that the features of the sample never come to the driver; gives the pickled model in parts."""
+
+    def run(frames):
+        frames = [f for f in frames if len(f)]
+        if not frames:
+            return
+        rows = pd.concat(frames).sort_values(["doc_id", "lang"], kind="stable").reset_index(drop=True)  # alike at any number of partitions
+        model = pickle.dumps(fit(rows, idf))
+        for i, low in enumerate(range(0, len(model), PART)):
+            yield pd.DataFrame({"part": [i], "model": [model[low : low + PART]]})
+
+    return run
+
+
 def _frequencies(batches):
     """(bucket, n): in how many texts of the task a bucket comes; bucket -1: how many texts have letters."""
     total, here, cache = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS, bool), {}
@@ -204,9 +222,10 @@ def train(docs: DataFrame, learnable, per_language: int = PER_LANGUAGE) -> Model
     chosen = low.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
     chosen = chosen.select("doc_id", (F.pmod("h", F.lit(5)) == 0).alias("apart")).distinct()
     rows = known.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "lang", "apart").agg(F.min("text").alias("text"))  # repeated rows come once
-    rows = rows.mapInPandas(_features, "doc_id long, lang string, apart boolean, index array<int>, n array<int>").toPandas()
-    rows = rows[rows["n"].map(len) > 0].sort_values(["doc_id", "lang"], kind="stable").reset_index(drop=True)  # alike at any number of partitions
-    return fit(rows, inverse_frequencies(known)) if len(rows) else None
+    rows = rows.mapInPandas(_features, "doc_id long, lang string, apart boolean, index array<int>, n array<int>").where("size(n) > 0")
+    parts = rows.repartition(1).mapInPandas(_fitted(inverse_frequencies(known)), "part int, model binary").toArrow()  # at most SAMPLE rows, in one task
+    parts = sorted(zip(parts["part"].to_pylist(), parts["model"].to_pylist(), strict=True))
+    return pickle.loads(b"".join(m for _, m in parts)) if parts else None
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

@@ -757,3 +757,12 @@ def test_block_hashes_tell_words_apart():
     assert len(h) == len(w) and len(set(zip(w, h.tolist(), strict=True))) == len(set(w)) == len(set(h.tolist()))
     pairs = window_hashes(h, 2)
     assert len(set(pairs.tolist())) == len({(a, b) for a, b in zip(w, w[1:])})
+
+
+def test_language_features_stay_out_of_the_driver(spark, monkeypatch):
+    """All features of the sample came to the driver as Python objects; now a model comes, in parts."""
+    df = spark.createDataFrame([(i, "the cat and the dog" if i % 2 else "der hund und die katze", "en" if i % 2 else "de") for i in range(60)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(type(df), "toPandas", lambda self: pytest.fail("rows come to the driver"))
+    monkeypatch.setattr(op08_langid, "PART", 1 << 16)
+    model = op08_langid.train(df, ~op08_langid.held_out())
+    assert model.languages == ["de", "en"] and model.weights.shape == (op08_langid.BUCKETS, 2)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.common import SPACES, doc_id_of, save, table, text_ids
 from helixframe.llm.graph import components
-from helixframe.llm.textkernel import U64, Block, blocks, longs, mix, signed, window_hashes
+from helixframe.llm.textkernel import BLOCK_BYTES, U64, Block, blocks, cuts, lengths, longs, mix, signed, window_hashes
 
 T, R, LEADERS = 128, 4, 2
 SHINGLE, PERCENT = 5, 75
@@ -128,9 +128,8 @@ def _agree(least: float):
 def _verify(percent: int):
     def run(batches):
         for batch in batches:
-            step = 256
-            for low in range(0, len(batch), step):
-                part = batch.slice(low, step)
+            for low, high in cuts(lengths(batch.column(2)) + lengths(batch.column(3)), BLOCK_BYTES):
+                part = batch.slice(low, high - low)
                 sets = [shingle_sets(Block(part, c)) for c in ("x", "y")]
                 keep = np.zeros(len(part), bool)
                 for r in range(len(part)):

@@ -34,6 +34,8 @@ from helixframe.llm.common import SPACES, doc_id_of, save, table, text_ids
 from helixframe.llm.textkernel import U64, blocks, longs, mix, signed, window_hashes
 
 WINDOW = 20
+#: Text of a block: the larger, the more equal hashes are settled before a shuffle.
+BLOCK_BYTES = 4 << 20
 #: Perfect difference sets: period -> cover. Fixed values.
 COVERS = {3: (0, 1), 7: (1, 2, 4), 13: (0, 1, 3, 9), 31: (1, 5, 11, 24, 25, 27), 57: (0, 1, 6, 15, 22, 26, 45, 55)}
 #: at: 30 bits that tell equal keys apart, 32 of the start word, and one that says whether the answer is known.
@@ -75,7 +77,7 @@ def _anchors(window: int):
     on = np.isin(np.arange(period), shifts)
 
     def run(batches):
-        for block in blocks(batches):
+        for block in blocks(batches, most=BLOCK_BYTES):
             words = block.word_hashes()
             at = block.windows(size)
             pos = at - block.first[block.row[at]]
@@ -142,7 +144,7 @@ def _windows(window: int):
     size = cover(window)[2]
 
     def run(batches):
-        for block in blocks(batches):
+        for block in blocks(batches, most=BLOCK_BYTES):
             near = _covered(block, *_flat(block, "at"), window - size, 1)
             at = block.windows(window)
             at = at[near[at]]
@@ -156,7 +158,7 @@ def _windows(window: int):
 
 def _removed(window: int):
     def run(batches):
-        for block in blocks(batches):
+        for block in blocks(batches, most=BLOCK_BYTES):
             gone = _covered(block, *_flat(block, "at"), 0, window)
             copy = block.batch.column(block.batch.schema.get_field_index("copy")).to_numpy(zero_copy_only=False).astype(bool)
             gone |= (copy & (np.diff(block.first) >= window))[block.row]

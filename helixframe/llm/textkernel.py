@@ -1,7 +1,7 @@
 """Vectorised word and window hashing over the bytes of an Arrow string column.
 
-Texts come in blocks of a few MB, so memory follows the block (or the longest
-single text), never the partition. Words are maximal runs of bytes other than
+Texts come in blocks of a MB, for which hashing takes some 50 MB, so memory follows
+the block (or the longest single text), never the partition. Words are maximal runs of bytes other than
 space and \\t \\n \\v \\f \\r; as no UTF-8 continuation byte is one of these,
 splitting bytes is splitting characters.
 """
@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _MULT = 0x9E3779B97F4A7C15 | 1
@@ -48,7 +48,7 @@ _POWERS = [np.ones(1, U64), np.ones(1, U64)]
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
-        size = max(n, BLOCK_BYTES + 65536)
+        size = -(-n // BLOCK_BYTES) * BLOCK_BYTES
         with np.errstate(over="ignore"):
             for i, m in enumerate((_MULT, _INVERSE)):
                 p = np.full(size, U64(m))
@@ -118,18 +118,26 @@ def window_hashes(words: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     return mix(h, seed)
 
 
+def cuts(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows in order, each of so many bytes or a single row."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    low = 0
+    while low < len(sizes):
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] + most, side="right")) - 1)
+        yield low, high
+        low = high
+
+
+def lengths(column: pa.Array) -> np.ndarray:
+    """Bytes of each text; null: none."""
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def blocks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = BLOCK_BYTES, kind: type[Block] = Block) -> Iterator[Block]:
     """Arrow batches, cut so that a block holds so many bytes of text or a single row."""
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index(text))
-        if not len(column):
-            continue
-        sizes = np.concatenate([[0], np.cumsum([0 if x is None else x for x in pc.binary_length(column).to_pylist()])])
-        low = 0
-        while low < len(column):
-            high = max(low + 1, int(np.searchsorted(sizes, sizes[low] + most, side="right")) - 1)
+        for low, high in cuts(lengths(batch.column(batch.schema.get_field_index(text))), most):
             yield kind(batch.slice(low, high - low), text)
-            low = high
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -766,3 +767,41 @@ def test_language_features_stay_out_of_the_driver(spark, monkeypatch):
     monkeypatch.setattr(op08_langid, "PART", 1 << 16)
     model = op08_langid.train(df, ~op08_langid.held_out())
     assert model.languages == ["de", "en"] and model.weights.shape == (op08_langid.BUCKETS, 2)
+
+
+def test_memory_follows_the_block(monkeypatch):
+    """Hashing 4 MB of text at a time took 200 MB of a Python worker, much of it for good; pairs were verified 256 at a time, however long."""
+    from helixframe.llm import textkernel
+
+    rng = np.random.default_rng(5)
+    letter = rng.integers(97, 123, (1500, 4200), np.uint8)
+    letter[:, ::6] = 32
+    texts = pa.array([x.tobytes().decode() for x in letter])
+    ids = pa.array(range(len(texts)))
+
+    def peak(work, *columns):
+        monkeypatch.setattr(textkernel, "_POWERS", [np.ones(1, np.uint64), np.ones(1, np.uint64)])
+        batch = pa.RecordBatch.from_arrays([x for x, _ in columns], names=[name for _, name in columns])
+        tracemalloc.start()
+        rows = sum(map(len, work(iter([batch]))))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return rows, most / 2**20
+
+    rows, most = peak(op01_minhash._sketches, (ids, "id"), (texts, "text"))
+    assert rows == len(texts) and most < 80, most
+    rows, most = peak(op01_minhash._verify(75), (ids, "a"), (ids, "b"), (texts, "x"), (texts, "y"))
+    assert rows == len(texts) and most < 60, most
+    rows, most = peak(op08_langid._frequencies, (texts, "text"))
+    assert rows > 1000 and most < 90, most
+
+
+def test_cuts_cover_all_rows():
+    from helixframe.llm.textkernel import blocks, cuts, lengths
+
+    assert list(cuts(np.array([3, 0, 5, 9, 1, 1, 0]), 5)) == [(0, 2), (2, 3), (3, 4), (4, 7)]
+    assert list(cuts(np.zeros(0, np.int64), 5)) == []
+    texts = [None, "", "é" * 3, "a b", None, "c" * 20, ""]
+    assert lengths(pa.array(texts)).tolist() == [0, 0, 6, 3, 0, 20, 0]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    assert [x for b in blocks([batch, batch.slice(0, 0)], most=8) for x in b.batch.column(0).to_pylist()] == texts

@@ -1,7 +1,8 @@
 """Token counts of whole documents by overlap resynchronisation.
 
-A text of up to CHUNK characters is encoded whole. A longer one is encoded in
-chunks that overlap. The token lists of two neighbours are spliced at a place in
+A text of up to CHUNK characters is one chunk: it is cut at its proven places, and
+pieces that come again are not encoded again (see `Counter.counted`). A longer one is
+encoded in chunks that overlap. The token lists of two neighbours are spliced at a place in
 the overlap where both have a token boundary and the text has a proven one: a
 white-space character ends just before it and another character begins there.
 The tokenizer's own pipeline never reads across such a place (see
@@ -24,6 +25,8 @@ from helixframe.llm.common import table
 
 CHUNK, OVERLAP = 1 << 14, 128
 _SAME = 4
+_AT_ONCE = 64  # texts or pieces that are encoded in one call
+_KNOWN = 1 << 21  # characters of the pieces that a process keeps with their numbers of tokens, and of those it has met once
 
 
 class Counter:
@@ -44,6 +47,9 @@ class Counter:
             self.model.no_truncation()
             self.model.no_padding()
             self.stable = self._splits_at_space()
+        self.known: dict[str, int] = {"": 0}  # piece -> its tokens; -1: not to be cut off from what stands before
+        self.met: set[str] = set()
+        self.sizes = [0, 0]  # characters of both
 
     def _splits_at_space(self) -> bool:
         """Whether the pre-tokenizer drops white space, so that a token never spans it, and no added token holds any.
@@ -76,7 +82,45 @@ class Counter:
         if self.pieces:
             return [len(x) for x in self.model.encode(texts, num_threads=1)]
         encode = getattr(self.model, "encode_batch_fast", self.model.encode_batch)
-        return [len(e.ids) for e in encode(texts, add_special_tokens=False)]
+        return [len(e) for e in encode(texts, add_special_tokens=False)]
+
+    def counted(self, texts: list[str]) -> list[int]:
+        """What `whole` gives; pieces between white space that come again are not encoded again.
+
+        The tokenizer never reads across a place with white space before and another character after it, so a
+        text has the tokens of its pieces. A piece met the second time is encoded alone and kept; what a text
+        holds besides kept pieces is encoded together. A piece that begins with white space of another kind is
+        not at such a place, and its text is encoded whole.
+        """
+        if not self.stable:
+            return self.whole(texts)
+        if self.sizes[0] > _KNOWN:
+            self.known, self.sizes[0] = {"": 0}, 0
+        if self.sizes[1] > _KNOWN:
+            self.met, self.sizes[1] = set(), 0
+        known, met = self.known, self.met
+        parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        again = set()
+        for pieces in parts:
+            for p in pieces:
+                if p in known or p in again:
+                    continue
+                if p[0].isspace():
+                    known[p] = -1
+                    self.sizes[0] += len(p)
+                elif p in met:
+                    again.add(p)
+                else:
+                    met.add(p)
+                    self.sizes[1] += len(p)
+        again = list(again)
+        for low in range(0, len(again), _AT_ONCE):
+            part = again[low : low + _AT_ONCE]
+            known.update(zip(part, self.whole(part), strict=True))
+        self.sizes[0] += sum(map(len, again))
+        counts = [[known[p] for p in pieces if p in known] for pieces in parts]
+        rest = [t if -1 in c else " ".join([p for p in pieces if p not in known]) for t, c, pieces in zip(texts, counts, parts, strict=True)]
+        return [n if -1 in c else n + sum(c) for n, c in zip(self.whole(rest), counts, strict=True)]
 
     def spliced(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
         if len(text) <= chunk or not self.stable:
@@ -141,9 +185,9 @@ def token_counts(docs: DataFrame, file: str, limit: int = 2048, chunk: int = CHU
             texts = ["" if t is None else t for t in texts]
             out = [0] * len(texts)
             short = [i for i, t in enumerate(texts) if len(t) <= chunk]
-            for low in range(0, len(short), 64):
-                part = short[low : low + 64]
-                for i, n in zip(part, made.whole([texts[i] for i in part]), strict=True):
+            for low in range(0, len(short), _AT_ONCE):
+                part = short[low : low + _AT_ONCE]
+                for i, n in zip(part, made.counted([texts[i] for i in part]), strict=True):
                     out[i] = n
             for i, t in enumerate(texts):
                 if len(t) > chunk:

@@ -290,6 +290,31 @@ def test_splicing_is_exact(name):
         assert c.spliced(text, 120, 8) == c.whole([text])[0]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_counts_by_pieces_are_exact(name, monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    c = op06_tokens.Counter(P.path(name))
+    monkeypatch.setattr(op06_tokens, "_KNOWN", 200)  # so that what is known is thrown away on the way
+    rng = random.Random(9)
+    blanks = [" ", " ", "  ", "\n", "\r\n", "\t", "\u3000", " \u3000", "\u00a0 ", "\u0085", " \x1c", "\x0b", "\f ", "\u180e", " \u200b", "\u2028", "\x00", " \u0301", " \u0338", "\u0301 "]
+    for _ in range(40):
+        texts = ["", " ", "\u3000", "<|endoftext|>", " <|start of text|> <|endoftext|>x<|endoftext|>", "don't stop's 're ' s", "ΟΔΟΣ ΣΑΣ Σ İI e\u0301 \uac00\u11a8 \u1100 \u1161"]
+        texts += ["".join("".join(rng.choices("abc'sdéÉéİΣΑ1日本👍\u0301\u0323<|>", k=rng.randrange(0, 7))) + rng.choice(blanks) for _ in range(30)) for _ in range(5)]
+        assert c.counted(texts) == c.whole(texts)
+
+
+def test_tokens_of_repeated_words_are_encoded_once():
+    P = pytest.importorskip("public_tokenizers")
+    c = op06_tokens.Counter(P.path("word_bpe_49k.json"))
+    seen, whole = [], c.whole
+    c.whole = lambda texts: seen.extend(texts) or whole(texts)
+    rng = random.Random(10)
+    texts = [" ".join(rng.choices(["the", "tokens", "of", "these", "words"], k=500)) for _ in range(20)]
+    assert c.counted(texts) == whole(texts)
+    assert sum(map(len, seen)) * 100 < sum(map(len, texts))
+    assert op06_tokens.counter(P.path("word_bpe_49k.json")).counted(texts[:3]) == whole(texts[:3])
+
+
 def fill_by_hand(children, budget):
     """children: (cap, weight) -> real-valued water-filling."""
     got, open_ = [0.0] * len(children), set(range(len(children)))
